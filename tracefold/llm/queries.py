@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import odd_sketch
+from . import cgk, ftrl, odd_sketch
 from .common import table
 
 
@@ -12,8 +12,18 @@ def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontamination_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
+        "op5_toxicity_ftrl": op5_toxicity_ftrl,
+        "op10_decontamination_cgk": op10_decontamination_cgk,
         "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
     }
 
