@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk, ftrl, odd_sketch
+from . import cgk, ftrl, odd_sketch, packing, rotation, warc
 from .common import table
 
 
@@ -16,6 +16,18 @@ def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.reconstruct(*warc.archive(table(spark, sf_dir, "pages")))
+
+
+def op8_packing_bounded_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,10 +35,16 @@ def op10_decontamination_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op5_toxicity_ftrl": op5_toxicity_ftrl,
+        "op6_warc_content_addressed": op6_warc_content_addressed,
+        "op8_packing_bounded_space": op8_packing_bounded_space,
+        "op9_perspective_rotation": op9_perspective_rotation,
         "op10_decontamination_cgk": op10_decontamination_cgk,
         "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_warc_content_addressed": warc.ARCHIVE_SQL,
+        "op9_perspective_rotation": rotation.ROTATION_SQL,
+    }

@@ -68,6 +68,7 @@ class Tokens:
     end: np.ndarray
     bytes: np.ndarray
     row_at: np.ndarray
+    sums: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -77,6 +78,11 @@ class Tokens:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), self.counts)
 
+    def stems(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of each token."""
+        q = _powers(len(self.bytes) + 1)[1]
+        return mix((self.sums[np.minimum(self.start + size, self.end)] - self.sums[self.start]) * q[self.start])
+
     def text(self, a: int, b: int) -> str:
         return " ".join(self.bytes[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(self.start[a:b], self.end[a:b]))
 
@@ -123,7 +129,7 @@ def tokenised(b: np.ndarray, off: np.ndarray, lo: int, hi: int) -> Tokens:
     c = np.zeros(len(b) + 1, _U)
     np.cumsum(_BYTE[b] * p[: len(b)], out=c[1:])
     h = mix((c[end] - c[start]) * q[start])
-    return Tokens(lo, hi, h, np.searchsorted(start, off).astype(np.int64), start, end, b, off)
+    return Tokens(lo, hi, h, np.searchsorted(start, off).astype(np.int64), start, end, b, off, c)
 
 
 def grams(t: Tokens, n: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
