@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk, ftrl, odd_sketch, packing, rotation, warc
+from . import cgk, cotraining, ftrl, odd_sketch, packing, pii, rotation, warc
 from .common import table
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,12 +42,14 @@ def op10_decontamination_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii_weak_supervision": op1_pii_weak_supervision,
+        "op3_quality_cotraining": op3_quality_cotraining,
+        "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
         "op5_toxicity_ftrl": op5_toxicity_ftrl,
         "op6_warc_content_addressed": op6_warc_content_addressed,
         "op8_packing_bounded_space": op8_packing_bounded_space,
         "op9_perspective_rotation": op9_perspective_rotation,
         "op10_decontamination_cgk": op10_decontamination_cgk,
-        "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
     }
 
 
