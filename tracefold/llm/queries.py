@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk, cotraining, ftrl, odd_sketch, packing, pii, rotation, warc
+from . import cgk, cotraining, ftrl, fuzzy_lines, odd_sketch, packing, pii, rotation, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ def op10_decontamination_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_pii_weak_supervision": op1_pii_weak_supervision,
+        "op2_fuzzy_lines": op2_fuzzy_lines,
         "op3_quality_cotraining": op3_quality_cotraining,
         "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
         "op5_toxicity_ftrl": op5_toxicity_ftrl,
