@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk, cotraining, ftrl, fuzzy_lines, odd_sketch, packing, pii, rotation, warc
+from . import cgk, cotraining, flat_graph, ftrl, fuzzy_lines, odd_sketch, packing, pii, rotation, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.reconstruct(*warc.archive(table(spark, sf_dir, "pages")))
 
 
+def op7_embedding_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing_bounded_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
         "op5_toxicity_ftrl": op5_toxicity_ftrl,
         "op6_warc_content_addressed": op6_warc_content_addressed,
+        "op7_embedding_flat_graph": op7_embedding_flat_graph,
         "op8_packing_bounded_space": op8_packing_bounded_space,
         "op9_perspective_rotation": op9_perspective_rotation,
         "op10_decontamination_cgk": op10_decontamination_cgk,
