@@ -14,9 +14,9 @@ insertions) that holds fewer pairs of its class than the least n of the class ne
 from a table of 2^20 masks, fixed in size whatever the benchmark, which only errs towards keeping a window. Of
 neighbouring starts those stay at which the count is as high as at the next one to either side.
 
-Scale: documents are read once, narrow, and only the windows of likely passages leave the scan; these are joined to the
-items' keys. Items are a benchmark: they are collected once to build the tables of masks, under a checked bound
-on their number (``most_items``); a larger benchmark is to be cut in parts, whose results are united.
+Scale: documents are read once, narrow, and nothing but verified matches leaves the scan. The items of a benchmark
+(tokens, keys and masks) go to every task; their number is checked, and a benchmark of more than ``most_items``
+is matched in several such scans, each with a part of it, so that what is sent stays under about 30 MB.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import kept
 
-MAX_EDIT, REPEATS, SAMPLED, LEAST_TOKENS, TABLE, CLASSES = 0.2, 24, 3, 4, 1 << 20, 62
+MAX_EDIT, REPEATS, SAMPLED, LEAST_TOKENS, TABLE, CLASSES, MOST_ITEMS = 0.2, 24, 3, 4, 1 << 20, 62, 20_000
+GRAMS = (2, 3)
 _U = np.uint64
 _NONE = _U(0)
 
@@ -54,23 +56,32 @@ def length_classes(lengths: list[int]) -> list[tuple[int, int]]:
         ratio *= 1.1
 
 
-def walks(tok: np.ndarray, at: np.ndarray, stop: np.ndarray, n: int, c: int, repeats: int, sampled: int) -> np.ndarray:
-    """LSH keys (windows x repeats) of the windows that begin at ``at``: n tokens each, none at or beyond ``stop``."""
-    out = np.empty((len(at), repeats), np.int64)
-    end = np.minimum(at + n, stop)
-    for r in range(repeats):
-        rng = np.random.default_rng([c, r, n])
-        steps = sorted(int(x) for x in rng.choice(max(1, 2 * n), min(sampled, max(1, 2 * n)), replace=False))
-        flip = tv.seeds(steps[-1] + 1, 1000 * c + r + 1)
-        key = np.full(len(at), c * 4096 + r, _U)
-        p = at.copy()
-        for j in range(steps[-1] + 1):
-            inside = p < end
-            sym = np.where(inside, tok[np.minimum(p, len(tok) - 1)], _NONE)
-            if j in steps:
-                key = tv.mix(key * _U(0x9E3779B97F4A7C15) + sym)
-            p += ((((sym ^ flip[j]) * _U(0xBF58476D1CE4E5B9)) >> _U(63)).astype(np.int64)) & inside
-        out[:, r] = key.view(np.int64)
+def walks(windows: np.ndarray, c: int, repeats: int, sampled: int) -> np.ndarray:
+    """LSH keys (windows x repeats) of windows of n tokens (a matrix; shorter ones are filled up with zeros)."""
+    count, n = windows.shape
+    flat = np.concatenate([windows.ravel(), np.zeros(1, _U)])
+    draws = np.stack([np.sort(np.random.default_rng([c, r, n]).choice(2 * n, min(sampled, 2 * n), replace=False)) for r in range(repeats)])
+    flips = np.stack([tv.seeds(2 * n, 1000 * c + r + 1) for r in range(repeats)])
+    out = np.empty((count, repeats), np.int64)
+    for s in range(0, count, 4096):
+        e = min(count, s + 4096)
+        begin = (np.arange(s, e) * n)[:, None]
+        key = np.broadcast_to((c * 4096 + np.arange(repeats)).astype(_U), (e - s, repeats)).copy()
+        p = np.zeros((e - s, repeats), np.int64)
+        for j in range(draws.max() + 1):
+            sym = flat[np.where(p < n, begin + p, count * n)]
+            for r in np.flatnonzero((draws == j).any(axis=1)):
+                key[:, r] = tv.mix(key[:, r] * _U(0x9E3779B97F4A7C15) + sym[:, r])
+            p += (((sym ^ flips[:, j]) * _U(0xBF58476D1CE4E5B9)) >> _U(63)).astype(np.int64)
+        out[s:e] = key.view(np.int64)
+    return out
+
+
+def matrix(parts: list[np.ndarray], n: int) -> np.ndarray:
+    """Their first n tokens, row by row, filled up with zeros."""
+    out = np.zeros((len(parts), n), _U)
+    for i, x in enumerate(parts):
+        out[i, : min(n, len(x))] = x[:n]
     return out
 
 
@@ -113,62 +124,102 @@ class Items:
                 self.tokens.append(tok)
         self.classes = length_classes([len(x) for x in self.tokens])
         self.of = [next(c for c, (a, b) in enumerate(self.classes) if a <= len(x) <= b) for x in self.tokens]
-        self.mask = np.zeros(TABLE, _U)
+        self.masks = [np.zeros(TABLE, _U) for _ in GRAMS]
         for c, tok in zip(self.of, self.tokens):
-            h = pairs(tok)
-            np.bitwise_or.at(self.mask, (h % _U(TABLE)).astype(np.int64), _U(1) << _U(c))
+            for g, mask in zip(GRAMS, self.masks):
+                np.bitwise_or.at(mask, runs(tok, g), _U(1) << _U(c))
 
-    def keys(self, repeats: int, sampled: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
-        for item, tok, c in zip(self.ids, self.tokens, self.of):
-            yield item, tok, c, walks(tok, np.zeros(1, np.int64), np.array([len(tok)]), self.classes[c][0], c, repeats, sampled)[0]
+    def keys(self, repeats: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
+        """All LSH keys in order, and the number of the item that each belongs to."""
+        found = [walks(matrix([tok], self.classes[c][0]), c, repeats, sampled)[0] for tok, c in zip(self.tokens, self.of)]
+        key, item = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(len(found)), repeats)
+        order = np.argsort(key, kind="stable")
+        return key[order], item[order]
 
 
-def pairs(tok: np.ndarray) -> np.ndarray:
-    return tv.mix(tok[:-1] * _U(0x9E3779B97F4A7C15) + tok[1:])
+def runs(tok: np.ndarray, g: int) -> np.ndarray:
+    """Where in a table of masks each run of g tokens is."""
+    if len(tok) < g:
+        return np.zeros(0, np.int64)
+    h = tok[: len(tok) - g + 1].copy()
+    for k in range(1, g):
+        h = h * _U(0x9E3779B97F4A7C15) + tok[k : len(tok) - g + 1 + k]
+    return (tv.mix(h + _U(g)) & _U(TABLE - 1)).astype(np.int64)
 
 
 def _windows(items: Items, repeats: int, sampled: int):
-    classes, mask, max_edit = items.classes, items.mask, items.max_edit
+    classes, masks, max_edit = items.classes, items.masks, items.max_edit
+    key_of, item_of = items.keys(repeats, sampled)
+
+    def candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (window, item) that share a key."""
+        lo, hi = np.searchsorted(key_of, keys.ravel(), "left"), np.searchsorted(key_of, keys.ravel(), "right")
+        n = hi - lo
+        which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.unique(np.repeat(np.arange(len(keys)).repeat(repeats), n) * len(items.ids) + item_of[which])
+        return both // len(items.ids), both % len(items.ids)
+
+    def starts(t: tv.Tokens, row: np.ndarray, seen: list[np.ndarray], stop: np.ndarray, c: int) -> np.ndarray:
+        """Starts of the windows of a class that may match."""
+        lo, hi = classes[c]
+        n, at = len(t.hash), np.arange(len(t.hash))
+        ok, total = np.ones(n, bool), np.zeros(n, np.int32)
+        for g, m in zip(GRAMS, seen):
+            hits = np.zeros(n + 1, np.int32)
+            np.cumsum((m >> _U(c)) & _U(1), out=hits[1:], dtype=np.int32)
+            count = hits[np.maximum(at, np.minimum(at + hi + allowed(hi, max_edit), stop) - g + 1)] - hits[:n]
+            ok &= count >= max(1 if g == 2 else 0, lo - g + 1 - g * allowed(lo, max_edit))
+            total += count
+        same = row[1:] == row[:-1]
+        ok[1:] &= ~same | (total[1:] >= total[:-1])
+        ok[:-1] &= ~same | (total[:-1] >= total[1:])
+        return np.flatnonzero(ok)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
+            found: dict[int, list] = {}
             for t in tv.tokens(b.column(1)):
-                if len(t.hash) < 2:
+                n = len(t.hash)
+                if not n:
                     continue
                 row = t.row
-                m = mask[(pairs(t.hash) & _U(TABLE - 1)).astype(np.int64)]
-                m[row[1:] != row[:-1]] = 0
-                seen = np.bitwise_or.reduce(m)
-                for c, (lo, hi) in enumerate(classes):
-                    if not seen >> _U(c) & _U(1):
-                        continue
-                    room = hi + allowed(hi, max_edit)
-                    hits = np.zeros(len(t.hash) + 1, np.int32)
-                    np.cumsum((m >> _U(c)) & _U(1), out=hits[1:-1])
-                    hits[-1] = hits[-2]
-                    n = len(t.hash)
-                    stop = t.first[row + 1]
-                    count = hits[np.minimum(np.arange(n) + room - 1, stop - 1)] - hits[:n]
-                    need = max(1, lo - 1 - 2 * allowed(lo, max_edit))
-                    ok = count >= need
-                    if not ok.any():
-                        continue
-                    before = np.concatenate([[-1], np.where(row[1:] == row[:-1], count[:-1], -1)])
-                    after = np.concatenate([np.where(row[1:] == row[:-1], count[1:], -1), [-1]])
-                    at = np.flatnonzero(ok & (count >= before) & (count >= after))
-                    keys = walks(t.hash, at, stop[at], lo, c, repeats, sampled)
-                    slack = allowed(hi, max_edit)
-                    begin, end = np.maximum(t.first[row[at]], at - slack), np.minimum(stop[at], at + hi + 2 * slack)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[t.lo + row[at]]), pa.array((at - t.first[row[at]]).astype(np.int32)), pa.array([t.hash[x:y].tobytes() for x, y in zip(begin, end)], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * repeats, pa.int32()), pa.array(keys.ravel()))],
-                        ["doc_id", "at", "tokens", "keys"],
-                    )
+                stop = t.first[row + 1]
+                seen = []
+                for g, mask in zip(GRAMS, masks):
+                    m = np.zeros(n, _U)
+                    m[: max(0, n - g + 1)] = mask[runs(t.hash, g)]
+                    m[np.arange(n) + g > stop] = 0
+                    seen.append(m)
+                some = int(np.bitwise_or.reduce(seen[0]))
+                for c, (_, hi) in enumerate(classes):
+                    if some >> c & 1:
+                        slack = allowed(hi, max_edit)
+                        for x in starts(t, row, seen, stop, c).tolist():
+                            first, last = int(t.first[row[x]]), int(stop[x])
+                            begin = max(first, x - slack)
+                            found.setdefault(c, []).append((ids[t.lo + row[x]], x - first, t.hash[begin : min(last, x + hi + 2 * slack)].copy(), t.hash[x : min(last, x + hi)].copy()))
+            for c, rows in found.items():
+                w, i = candidates(walks(matrix([r[3] for r in rows], classes[c][0]), c, repeats, sampled))
+                d = edit_distances([items.tokens[x] for x in i], [rows[x][2] for x in w])
+                ok = np.flatnonzero(d <= np.array([allowed(len(items.tokens[x]), max_edit) for x in i], np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rows[x][0] for x in w[ok]], pa.int64()), pa.array([items.ids[x] for x in i[ok]], pa.int64()), pa.array([rows[x][1] for x in w[ok]], pa.int32()), pa.array(d[ok].astype(np.int32))],
+                    ["doc_id", "item_id", "at", "distance"],
+                )
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, repeats: int = REPEATS, sampled: int = SAMPLED, most_items: int = 200_000) -> DataFrame:
+def _parts(benchmark: DataFrame, most_items: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items, at most about ``most_items`` at a time."""
+    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    parts = max(1, -(-bench.count() // most_items))
+    for k in range(parts):
+        yield sorted((r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect())
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, repeats: int = REPEATS, sampled: int = SAMPLED, most_items: int = MOST_ITEMS) -> DataFrame:
     """Rows (doc_id, item_id, at, distance): each document that holds a passage of a benchmark item, at its best place.
 
     Reads doc_id and text; item_id and text. ``at`` is the number of the token where the best window begins,
@@ -176,29 +227,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, rep
     tokens, which are no evidence. Ties go to the least ``at``. Repeated documents or items (rows of the same id)
     count once. Documents shorter than an item are matched whole. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().limit(most_items + 1).collect()
-    if len(bench) > most_items:
-        raise ValueError(f"over {most_items} benchmark items: cut the benchmark in parts and unite the results")
-    items = Items(sorted((r.item_id, r.text) for r in bench), max_edit)
-    keyed = spark.createDataFrame([(int(k), item, tok.tobytes()) for item, tok, _, ks in items.keys(repeats, sampled) for k in ks.tolist()] if items.ids else [], "key long, item_id long, item binary")
-    found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_windows(items, repeats, sampled), "doc_id long, at int, tokens binary, keys array<long>")
-    pair = found.withColumn("key", F.explode("keys")).drop("keys").join(keyed, "key").groupBy("doc_id", "at", "item_id", "tokens").agg(F.first("item").alias("item"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a = [np.frombuffer(x, _U) for x in b.column(4).to_pylist()]
-            w = [np.frombuffer(x, _U) for x in b.column(3).to_pylist()]
-            d = edit_distances(a, w) if a else np.zeros(0, np.int64)
-            ok = np.flatnonzero(d <= np.array([allowed(len(x), max_edit) for x in a], np.int64)) if a else d
-            rb = b.take(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), rb.column(1), pa.array(d[ok].astype(np.int32))], ["doc_id", "item_id", "at", "distance"])
-
-    kept = pair.mapInArrow(verify, "doc_id long, item_id long, at int, distance int")
-    return kept.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "at")).alias("best")).select("doc_id", "item_id", "best.at", "best.distance")
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = None
+    for own in _parts(benchmark, most_items):
+        some = rows.mapInArrow(_windows(Items(own, max_edit), repeats, sampled), "doc_id long, item_id long, at int, distance int")
+        found = some if found is None else found.unionByName(some)
+    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "at")).alias("best")).select("doc_id", "item_id", "best.at", "best.distance")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """``docs`` without the documents that leak an item; rows without a doc_id or text stay."""
-    gone = leaks(docs, benchmark, **params).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` whose text leaks no item, each judged by itself, in narrow passes; rows without a doc_id stay."""
+    for own in _parts(benchmark, params.get("most_items", MOST_ITEMS)):
+        run = _windows(Items(own, params.get("max_edit", MAX_EDIT)), params.get("repeats", REPEATS), params.get("sampled", SAMPLED))
+
+        def judge(b: pa.RecordBatch, run=run) -> np.ndarray:
+            text = tv.as_strings(b.column(b.schema.get_field_index("text")))
+            out = np.ones(b.num_rows, bool)
+            for hit in run(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), text], ["doc_id", "text"])])):
+                out[hit.column(0).to_numpy()] = False
+            return out | b.column(b.schema.get_field_index("doc_id")).is_null().to_numpy(zero_copy_only=False)
+
+        docs = kept(docs, judge)
+    return docs
