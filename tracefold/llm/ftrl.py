@@ -66,8 +66,8 @@ def fit_ftrl(xs: list[np.ndarray], ys: np.ndarray, buckets: int = BUCKETS, epoch
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The model: rows (bucket, weight), bucket 2^18 being the bias. A document with labels that differ counts as toxic."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    x = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(y, "doc_id").select("doc_id", "text", "y").mapInArrow(_sets, "doc_id long, y int, x array<int>")
+    y = written(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "chosen")[0]  # at most ``sample`` rows, which are broadcast
+    x = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id").select("doc_id", "text", "y").mapInArrow(_sets, "doc_id long, y int, x array<int>")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(order=tv.mix(pdf.doc_id.to_numpy().astype(np.uint64))).sort_values(["order", "doc_id"])
@@ -81,7 +81,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, score) of every document with a doc_id; reads doc_id and text. No text scores as the bias alone."""
     w = np.zeros(BUCKETS + 1)
-    for r in model.collect():
+    rows = model.collect()  # at most BUCKETS + 1
+    if not rows:
+        w[-1] = -35.0
+    for r in rows:
         w[r.bucket] = r.weight
     at, weight, bias = np.flatnonzero(w[:-1]).astype(np.int64), w[np.flatnonzero(w[:-1])], float(w[-1])
 
