@@ -1,0 +1,398 @@
+"""Small brute-force comparisons and edge cases of the ten operators and the pipeline's stages."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracefold.llm import cgk, cotraining, flat_graph, ftrl, fuzzy_lines, odd_sketch, packing, pii, rotation, textvec, warc
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, hash string"
+WORDS = [a + b + c for a in ("ka", "lo", "mi", "ru", "te", "so") for b in ("n", "r", "s", "t") for c in ("a", "en", "ix", "ol", "um", "e")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def edited(rng, text, share):
+    return " ".join(rng.choice(WORDS) + "q" if rng.random() < share else w for w in text.split())
+
+
+def docs_df(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 0.5, 7, "x") for i, t in rows], DOC)
+
+
+def odd_rows():
+    """Nulls, empties, blanks, ties, repeats and a very long text."""
+    rng = random.Random(5)
+    return [(None, "lonely text without a key"), (1, None), (2, ""), (3, "  \n \n"), (4, "!!! ..."), (5, "word"), (5, "word"), (6, "word"), (7, prose(rng, 60_000)), (8, "é ü 漢字 text"), (9, prose(rng, 30)), (9, prose(rng, 30))]
+
+
+def norm(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+
+
+# --- tokens
+
+
+def test_tokens_are_those_of_the_regular_expression():
+    import pyarrow as pa
+
+    texts = ["A b-c", None, "", "Éa 12_3", "x" * 700_000 + " y", "\n\n", "é"]
+    got = [t.text(t.first[i], t.first[i + 1]).split() for t in textvec.tokens(pa.array(texts)) for i in range(t.hi - t.lo)]
+    assert got == [norm(x) for x in texts]
+    a, b = (next(textvec.tokens(pa.array([x]))).hash for x in ("one two one", "two one"))
+    assert a[0] == a[2] == b[1] and a[1] == b[0] and a[0] != a[1]
+
+
+# --- 1 PII
+
+
+def test_pii_spans_and_redaction(spark):
+    rows = odd_rows() + [
+        (20, "mail ann.b@mail7.example.com or call +1 (974) 555-3436 now"),
+        (21, 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e06aa11" and 152.143.123.131'),
+        (22, "card 4785380592391135, dated 2024-05-06, in 1999, version 1.2"),
+        (22, "card 4785380592391135, dated 2024-05-06, in 1999, version 1.2"),
+    ]
+    df = docs_df(spark, rows)
+    text = {i: t for i, t in rows}
+    got = {(r.doc_id, r.kind, text[r.doc_id][r.start : r.stop]) for r in pii.spans(df).collect()}
+    assert {(20, "email", "ann.b@mail7.example.com"), (20, "number", "+1 (974) 555-3436"), (21, "ip", "152.143.123.131"), (22, "number", "4785380592391135")} <= got
+    assert (21, "secret", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e06aa11") in got
+    assert {d for d, _, _ in got} == {20, 21, 22} and not any("2024" in s for _, _, s in got)
+    red = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert red[20] == "mail [email] or call [number] now" and red[1] is None and red[None].startswith("lonely")
+    assert pii.redact(df).columns == df.columns and pii.redact(df).count() == len(rows)
+    assert pii.spans(df.limit(0)).count() == 0
+
+
+def test_em_finds_the_bad_labeler():
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.4
+    rates = (0.95, 0.9, 0.55, 0.9, 0.85, 0.6)
+    seen = {}
+    for t in truth:
+        v = "".join("+" if (t if rng.random() < r else not t) else "-" for r in rates)
+        seen.setdefault(v, []).append(t)
+    pats = [("k", v) for v in seen]
+    p, _ = pii.reliabilities(pats, np.array([float(len(x)) for x in seen.values()]))
+    right = sum(sum(t == (q > 0.5) for t in x) for x, q in zip(seen.values(), p))
+    assert right / len(truth) > 0.95
+
+
+# --- 2 fuzzy lines
+
+
+def distance(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+def test_fuzzy_lines_recall_against_brute_force(spark):
+    rng = random.Random(3)
+    base = [prose(rng, rng.randint(20, 40)) for _ in range(30)]
+    lines = [edited(rng, rng.choice(base), rng.choice([0, 0.01, 0.02])) for _ in range(160)]
+    rows = [(k, "\n".join(lines[4 * k : 4 * k + 4])) for k in range(40)]
+    gone = {(r.doc_id, r.line) for r in fuzzy_lines.removals(docs_df(spark, rows)).collect()}
+    flat = [(k, i, " ".join(norm(x))) for k, t in rows for i, x in enumerate(t.split("\n"))]
+    near = {(a, b) for a in range(len(flat)) for b in range(a) if distance(flat[a][2], flat[b][2]) <= int(0.05 * max(len(flat[a][2]), len(flat[b][2])) + 1e-9)}
+    assert len(near) > 200
+    missed = [p for p in near if flat[p[0]][:2] not in gone and flat[p[1]][:2] not in gone]
+    assert len(missed) <= 0.1 * len(near)
+    root = list(range(len(flat)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in near:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert all(find(i) != i for i in range(len(flat)) if flat[i][:2] in gone)  # nothing goes but for a true partner
+
+
+def test_fuzzy_lines_edges(spark):
+    rows = odd_rows() + [(30, "Keep this line, please!\n\nAnd that\nkeep THIS line please"), (31, "and that\nnew")]
+    df = docs_df(spark, rows)
+    out = fuzzy_lines.dedup_lines(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got[30] == ["Keep this line, please!\n\nAnd that"] and got[31] == ["new"]
+    assert got[5] == ["word", "word"] and got[6] == [""] and got[1] == [None] and got[4] == ["!!! ..."] and got[3] == ["  \n \n"]
+    assert got[7] == [dict(rows)[7]] and got[None] == ["lonely text without a key"]
+    assert fuzzy_lines.dedup_lines(df.limit(0)).count() == 0
+
+
+# --- 3 co-training
+
+
+def quality_rows(n, rng):
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.8
+        t = prose(rng, rng.randint(20, 80))
+        rows.append((i, t if good else " ".join(w.upper() + "!!" for w in t.split()[:8]) + " " + " ".join(["spam"] * 40)))
+        labels.append((i, int(good), int(not good)))
+    return rows, labels
+
+
+def test_cotraining_on_held_out_documents(spark):
+    rows, labels = quality_rows(400, random.Random(1))
+    rows += odd_rows() and [(1000 + i, t) for i, (_, t) in enumerate(odd_rows())] + [(None, "x")]
+    df = docs_df(spark, rows)
+    known = spark.createDataFrame([x for x in labels if x[0] % 2] + [(None, 1, 0), (1001, None, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in cotraining.classify(df, known).collect()}
+    assert len(got) == len({i for i, _ in rows if i is not None})
+    held = [x for x in labels if not x[0] % 2]
+    assert sum(got[i].keep == bool(q) for i, q, _ in held) >= 0.97 * len(held)
+    kept = cotraining.keep_good(df, known)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.keep} | {None}
+
+
+def test_cotraining_without_labels_keeps_all(spark):
+    df = docs_df(spark, odd_rows())
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert cotraining.keep_good(df, none).count() == len(odd_rows())
+    assert {r.score for r in cotraining.classify(df, none).collect()} == {1.0}
+    assert cotraining.classify(df.limit(0), none).count() == 0
+
+
+# --- 4 MinHash with odd sketches
+
+
+def shingles(text):
+    w = norm(text)
+    return set(zip(w, w[1:])) or set(w)
+
+
+def test_odd_sketch_estimates_similarity():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    base = prose(rng, 800)
+    texts = [base] + [edited(rng, base, s) for s in (0.0, 0.02, 0.05, 0.1)]
+    (_, _, s, _) = next(odd_sketch.samples(pa.array(texts), 1000))
+    words = odd_sketch.odd_sketch(s, 4096).view(np.uint64)
+    for k in range(1, 5):
+        true = len(shingles(base) & shingles(texts[k])) / len(shingles(base) | shingles(texts[k]))
+        odd = int(np.bitwise_count(words[0] ^ words[k]).sum())
+        assert abs(float(odd_sketch.estimate(np.array([odd]), 4096, 1000)[0]) - true) < 0.05
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 120)) for i in range(60)]
+    rows += [(100 + i, edited(rng, rows[i % 20][1], rng.choice([0, 0.02, 0.03]))) for i in range(60)]
+    rows += [(500 + i, rows[0][1]) for i in range(30)] + [(700, rows[3][1].upper() + "!")]
+    got = {r.doc_id: r.dup_of for r in odd_sketch.near_duplicates(docs_df(spark, rows + odd_rows())).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    true = {i: find(i) for i in sets if find(i) != i}
+    assert sum(got.get(i) == g for i, g in true.items()) >= 0.95 * len(true)
+    alike = {b for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert set(got) <= alike | {6} and got[6] == 5
+
+
+def test_drop_near_duplicates_edges(spark):
+    df = docs_df(spark, odd_rows())
+    out = odd_sketch.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i, _ in odd_rows() if i != 6)
+    assert odd_sketch.near_duplicates(df.limit(0)).count() == 0
+
+
+# --- 5 toxicity
+
+
+def test_ftrl_is_sparse_and_generalises(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        bad = rng.random() < 0.25
+        w = prose(rng, rng.randint(20, 120)).split()
+        if bad:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["vile", "nasty", "foul"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    rows += [(2000 + i, t) for i, (_, t) in enumerate(odd_rows())] + [(None, "vile vile nasty foul")]
+    known = spark.createDataFrame([x for x in labels if x[0] % 2] + [(None, 1, 1), (2001, 1, None)], "doc_id long, quality int, toxic int")
+    df = docs_df(spark, rows)
+    model = ftrl.train(df, known)
+    assert 0 < model.count() < 3000
+    got = {r.doc_id for r in ftrl.toxic(df, known).collect()}
+    held = [x for x in labels if not x[0] % 2]
+    assert sum((i in got) == bool(t) for i, _, t in held) >= 0.97 * len(held)
+    assert None not in got and not any(i >= 2000 for i in got)
+    assert ftrl.toxic(df, known.limit(0)).count() == 0 and ftrl.toxic(df.limit(0), known).count() == 0
+
+
+# --- 6 archive
+
+
+def test_archive_round_trip(spark, tmp_path):
+    rows = [(1, "http://a", "<p>é</p>", 1), (2, "http://b", "<p>é</p>", 2), (2, "http://b", "<p>é</p>", 2), (3, None, None, 3), (4, "http://c", "", 4), (None, "x", "y", 5), (5, "u", "z" * 500_000, 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long")
+    payloads, headers = warc.archive(pages)
+    assert payloads.count() == 3 and headers.count() == 6
+    warc.write_archive(pages, str(tmp_path / "a"))
+    back = warc.read_archive(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.page_id, r.record.split("\r\n\r\n", 1)[1]) for r in back) == sorted((i, h or "") for i, _, h, _ in rows if i is not None)
+    assert all(f"Content-Length: {len(r.record.split(chr(13) + chr(10) + chr(13) + chr(10), 1)[1].encode())}\r\n" in r.record for r in back)
+    assert {r.stored_by for r in back if r.page_id == 2} == {1}
+    assert warc.reconstruct(*warc.archive(pages.limit(0))).count() == 0
+    with pytest.raises(Exception, match="match"):
+        warc.reconstruct(payloads.withColumn("payload", F.encode(F.lit("no"), "UTF-8")), headers).collect()
+
+
+def test_warc_files_are_parsed(spark, tmp_path):
+    import gzip
+
+    rec = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(rec + rec)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(rec))
+    got = warc.parse_warc(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and {bytes(r.payload) for r in got} == {b"hello"}
+
+
+# --- 7 embeddings
+
+
+def test_flat_graph_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 16))
+    x = np.concatenate([x, x[:200] + rng.normal(size=(200, 16)) * 0.05, np.repeat(x[:1], 40, 0), x[:1] * 2])
+    rows = [(i, [float(v) for v in r], "x", 0.1) for i, r in enumerate(x)] + [(None, [1.0] * 16, "x", 0.1), (9000, None, "x", 0.1), (9001, [], "x", 0.1), (9002, [0.0] * 16, "x", 0.1), (9003, [1.0, 2.0], "x", 0.1), (3, [float(v) for v in x[3]], "x", 0.1), (9004, [None] + [1.0] * 15, "x", 0.1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, cosine double")
+    got = {r.vec_id: r.dup_of for r in flat_graph.near_duplicates(df, shard=100).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    root = list(range(len(x)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1))):
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    true = {i: find(i) for i in range(len(x)) if find(i) != i}
+    assert sum(got.get(i) == g for i, g in true.items()) >= 0.95 * len(true) and set(got) <= set(true)
+    assert flat_graph.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_dense_shards_are_cut():
+    rng = np.random.default_rng(1)
+    parts = flat_graph.shards_of(flat_graph.unit(rng.normal(size=(3000, 8))), 400, 2)
+    assert len(set(np.concatenate(parts))) == 3000 and max(map(len, parts)) <= 400
+
+
+# --- 8 packing
+
+
+def test_packing_keeps_every_token(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.choice([1, 5, 60, 99, 100, 101, 350]))) for i in range(200)] + odd_rows()
+    got = packing.pack(docs_df(spark, rows), window=100, open_windows=4).collect()
+    want = {}
+    for i, t in rows:
+        if i is not None and (t or "").split():
+            want[i] = want.get(i, 0) + len(t.split())
+    have, fill = {}, {}
+    for r in got:
+        have[r.doc_id] = have.get(r.doc_id, 0) + r.tokens
+        fill.setdefault(r.window_id, []).append(r)
+    assert have == want
+    for rs in fill.values():
+        assert sum(r.tokens for r in rs) == rs[0].fill <= 100 and sorted(r.slot for r in rs) == list(range(1, len(rs) + 1))
+    assert len(fill) <= 1.1 * sum(want.values()) / 100 + 1
+    assert packing.pack(docs_df(spark, []), window=100).count() == 0
+
+
+def test_shelf_is_best_fit_and_bounded():
+    shelf = packing.Shelf(10, 2)
+    assert shelf.place(6, "a") == [] and shelf.place(5, "b") == [] and shelf.place(4, "c") == [(0, ["a", "c"])]
+    assert shelf.place(8, "d") == [] and shelf.place(9, "e") == [(2, ["d"])]
+    assert len(shelf.rooms) == 2
+    assert packing.merged([(9, 0), (6, 0), (4, 0), (1, 0)], 10) == [0, 1, 1, 0]
+
+
+# --- 9 rotation
+
+
+def test_rotation(spark):
+    rows = [(1, 0, "system", "be nice", "m"), (1, 1, "ann", "hi", "m"), (1, 2, "bob", None, "m"), (1, 3, "ann", "bye é", "m"), (1, 3, "ann", "bye é", "m"), (2, 0, "system", "only", "m"), (None, 0, "ann", "x", "m"), (3, None, None, "who", "m"), (4, 0, " ", "w" * 100_000, "m")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mask string")
+    got = {(r.conv_id, r.speaker): r for r in rotation.rotate(df).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (3, "unknown"), (4, "unknown")}
+    r = got[1, "ann"]
+    assert r.text == "<|im_start|>system\nbe nice<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n" + 2 * "<|im_start|>assistant\nbye é<|im_end|>\n"
+    assert [r.text[int(a) : int(b)] for a, b in (s.split("-") for s in r.mask.split(","))] == ["hi", "bye é", "bye é"] and r.masked == 12
+    assert got[4, "unknown"].masked == 100_000
+    assert rotation.rotate(df.limit(0)).count() == 0
+
+
+# --- 10 decontamination
+
+
+def token_distance(item, doc):
+    """The least edit distance of the item to any passage of the document."""
+    prev = [0] * (len(doc) + 1)
+    for i, x in enumerate(item, 1):
+        cur = [i]
+        for j, y in enumerate(doc, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return min(prev)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(10)
+    items = [(k, prose(rng, rng.randint(6, 50))) for k in range(25)] + [(90, "too short"), (91, None), (None, prose(rng, 9)), (92, "")]
+    items += [items[0]]
+    rows = []
+    for d in range(80):
+        t = prose(rng, rng.randint(5, 120)).split()
+        if d % 2:
+            piece = items[rng.randrange(25)][1].split()
+            for _ in range(int(rng.choice([0, 0.1, 0.2]) * len(piece))):
+                p = rng.randrange(len(piece))
+                rng.choice([lambda: piece.insert(p, "zzz"), lambda: piece.pop(p), lambda: piece.__setitem__(p, "yyy")])()
+            at = rng.randrange(len(t))
+            t[at:at] = piece
+        rows.append((100 + d, " ".join(t)))
+    rows.append((300, items[2][1]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs_df(spark, rows + odd_rows())
+    got = {(r.doc_id, r.item_id): r.distance for r in cgk.leaks(df, bench).collect()}
+    true = {(d, k): x for d, t in rows for k, i in items if k is not None and len(norm(i)) >= 4 for x in [token_distance(norm(i), norm(t))] if x <= cgk.allowed(len(norm(i)), 0.2)}
+    assert len(true) > 30 and set(got) <= set(true) and len(set(got) & set(true)) >= 0.95 * len(true)
+    assert all(got[p] == true[p] for p in got)
+    parts = {(r.doc_id, r.item_id) for r in cgk.leaks(df, bench, most_items=5).collect()}  # a large benchmark goes in parts
+    assert parts <= set(true) and len(parts) >= 0.95 * len(true)
+    left = cgk.decontaminate(df, bench)
+    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in rows + odd_rows() if i not in {d for d, _ in got})
+    assert cgk.leaks(df, bench.limit(0)).count() == 0 and cgk.leaks(df.limit(0), bench).count() == 0 and cgk.decontaminate(df, bench.limit(0)).count() == len(rows + odd_rows())
