@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import written
+from .common import kept, written
 
 SAMPLE, ROUNDS, SURE, SHARE, THRESHOLD = 8192, 4, 0.95, 0.05, 0.3
 LANGS, SOURCES = 16, 64
@@ -142,13 +142,12 @@ def _typed(docs: DataFrame, *more: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[np.ndarray] | None:
     """The model, or None where labelled documents of both kinds are missing."""
     y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("__y"))
-    all_docs = _typed(docs)
-    known = all_docs.join(y, F.col("doc_id") == F.col("__id")).drop("__id")
-    new = all_docs.join(y, F.col("doc_id") == F.col("__id"), "left_anti").withColumn("__y", F.lit(-1))
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct().join(y, "__id", "left")
 
-    def few(df: DataFrame) -> DataFrame:
-        ids = df.select(F.col("doc_id").alias("__few")).distinct().orderBy(F.xxhash64("__few"), "__few").limit(sample)
-        return df.join(ids, F.col("doc_id") == F.col("__few")).drop("__few")
+    def few(known: bool) -> DataFrame:
+        return ids.where("__y is not null" if known else "__y is null").orderBy(F.xxhash64("__id"), "__id").limit(sample)
+
+    chosen = written(few(True).unionByName(few(False)).withColumn("__y", F.coalesce("__y", F.lit(-1))), "chosen")[0]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[np.n
         model = co_train([x[:, :N_TEXT], x[:, N_TEXT:]], y, held)
         return pd.DataFrame([(p, i, float(v)) for p, w in enumerate(model) for i, v in enumerate(w)], columns=["part", "at", "weight"])
 
-    rows = few(known).unionByName(few(new)).select("doc_id", *_COLS, "__y").mapInArrow(make, "doc_id long, y int, x array<float>")
+    few_docs = _typed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most 2 * sample ids
+    rows = few_docs.select("doc_id", *_COLS, "__y").mapInArrow(make, "doc_id long, y int, x array<float>")
     model = written(rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "part int, at int, weight double"), "cotraining")[0].orderBy("part", "at").collect()
     return [np.array([r.weight for r in model if r.part == p]) for p in range(3)] if model else None
 
@@ -201,6 +201,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rejected documents; rows without a doc_id stay."""
-    bad = classify(docs, labels, threshold, sample).where("not keep").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """The rows of ``docs`` that score at least ``threshold``, each judged by itself; rows without a doc_id stay."""
+    model = train(docs, labels, sample)
+
+    def judge(b: pa.RecordBatch) -> np.ndarray:
+        cols = [b.column(b.schema.get_field_index(c)) for c in _COLS]
+        out = np.ones(b.num_rows, bool)
+        if model is not None:
+            for lo, hi, x, m in features(*cols):
+                out[lo:hi] = np.round(1 / (1 + np.exp(-logit(np.stack([logit(x, model[0]), logit(m, model[1])], 1), model[2]))), 9) >= threshold
+        return out | b.column(b.schema.get_field_index("doc_id")).is_null().to_numpy(zero_copy_only=False)
+
+    return kept(docs, judge)
