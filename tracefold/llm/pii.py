@@ -29,13 +29,13 @@ TLDS = frozenset("ai at au be br ca ch cn co com de edu es eu fr gov in info int
 _SPAN = re.compile(
     r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)*)"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<secret>(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{0,200}\d)(?=[A-Za-z0-9_-]{0,200}[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-]))"
+    r"|(?P<secret>(?<![A-Za-z0-9_-])(?:AKIA|ghp_|sk-|xox[a-z]-)[A-Za-z0-9_-]{12,}|(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{0,200}\d)(?=[A-Za-z0-9_-]{0,200}[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<number>(?<![\w.])\+?\(?\d(?:[ ().\-/]{0,2}\d){6,18}(?!\w))"
+    r"|(?P<number>(?<![\w.])(?:\d{13,19}|\+?\(?\d(?:[ ().\-/]{0,2}(?!\d{1,3}(?:\.\d{1,3}){3}(?!\w))\d){6,18})(?!\w))"
     r"|(?P<name>\b(?:" + "|".join(sorted(x.capitalize() for x in NAMES)) + r") [A-Z][a-z]{2,}\b)"
 )
 #: What every span has; texts without it are not looked at any further.
-_SOME = r"[0-9@]|\b(?:" + "|".join(sorted(x.capitalize() for x in NAMES)) + r") [A-Z]"
+_SOME = r"[0-9@]|AKIA|ghp_|sk-|xox|\b(?:" + "|".join(sorted(x.capitalize() for x in NAMES)) + r") [A-Z]"
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\+\d{9,14}")
 _DATE = re.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4}|(?:19|20)\d\d ?[-/] ?(?:19|20)\d\d")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
