@@ -27,8 +27,7 @@ _OUT = "part int, serial long, leftover boolean, doc_id long, first_token long,
 
 def words(text: Column) -> Column:
     """The number of runs of non-blank characters."""
-    blank = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(blank == "", F.lit(0)).otherwise(F.length(blank) - F.length(F.translate(blank, " ", "")) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 class Shelf:
