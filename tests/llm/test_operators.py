@@ -121,6 +121,23 @@ def test_fuzzy_lines_recall_against_brute_force(spark):
     assert all(find(i) != i for i in range(len(flat)) if flat[i][:2] in gone)  # nothing goes but for a true partner
 
 
+def test_fuzzy_lines_recall_by_length(spark):
+    """One character replaced, and as many as the similarity allows, spread over the line."""
+    rng = random.Random(20)
+    rows, planted = [], {}
+    for low, high in ((20, 40), (40, 60), (60, 80), (80, 120), (120, 200), (200, 400), (400, 900)):
+        for k in range(200):
+            n = rng.randrange(low, high)
+            line = list(prose(rng, n // 3)[:n].strip().ljust(n, "x"))
+            other = list(line)
+            for p in rng.sample([i for i in range(n) if line[i] != " "], 1 if k % 2 else int(0.05 * n)):
+                other[p] = rng.choice("bdfghj")
+            rows += [(len(rows), "".join(line)), (len(rows) + 1, "".join(other))]
+            planted.setdefault((low, k % 2), []).append(len(rows) - 1)
+    gone = {r.doc_id for r in fuzzy_lines.removals(docs_df(spark, rows)).collect()}
+    assert {x: 1 for x, own in planted.items() if len(gone & set(own)) < 0.9 * len(own)} == {}
+
+
 def test_fuzzy_lines_edges(spark):
     rows = odd_rows() + [(30, "Keep this line, please!\n\nAnd that\nkeep THIS line please"), (31, "and that\nnew")]
     df = docs_df(spark, rows)
