@@ -413,3 +413,25 @@ def test_leaks_against_brute_force(spark):
     left = cgk.decontaminate(df, bench)
     assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in rows + odd_rows() if i not in {d for d, _ in got})
     assert cgk.leaks(df, bench.limit(0)).count() == 0 and cgk.leaks(df.limit(0), bench).count() == 0 and cgk.decontaminate(df, bench.limit(0)).count() == len(rows + odd_rows())
+
+
+def matched(items, text):
+    """The items that a document leaks, without Spark."""
+    import pyarrow as pa
+
+    run = cgk._windows(cgk.Items(items, 0.2), cgk.REPEATS, cgk.SAMPLED)
+    return {i for b in run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])])) for i in b.column(1).to_pylist()}
+
+
+def test_no_length_of_a_class_is_passed_over():
+    """Edits at the limit that each spoil as many pairs and triples as they can, in items longer than the least of their class."""
+    rng = random.Random(15)
+    for n in (10, 15, 20, 30):
+        found = 0
+        for k in range(40):
+            item, least = prose(rng, n), prose(rng, n - 1)
+            words = item.split()
+            for e in range(cgk.allowed(n, 0.2)):
+                words[3 + 4 * e if n > 10 else 2 + 4 * e] = "zzz"
+            found += 1 in matched([(1, item), (2, least)], prose(rng, 20) + " " + " ".join(words) + " " + prose(rng, 20))
+        assert found >= 36, n

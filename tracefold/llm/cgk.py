@@ -41,6 +41,11 @@ def allowed(n: int, max_edit: float) -> int:
     return int(max_edit * n + 1e-9)
 
 
+def least_runs(lo: int, hi: int, g: int, max_edit: float) -> int:
+    """How many runs of g tokens the edits allowed spare at least, of any item of lo to hi tokens; not monotone in the length."""
+    return min(n - g + 1 - g * allowed(n, max_edit) for n in range(lo, hi + 1))
+
+
 def length_classes(lengths: list[int]) -> list[tuple[int, int]]:
     """Ranges of item lengths, each at most 1.15 times as long at its end, and more where there would be over 62."""
     ratio = 1.15
@@ -168,7 +173,7 @@ def _windows(items: Items, repeats: int, sampled: int):
             hits = np.zeros(n + 1, np.int32)
             np.cumsum((m >> _U(c)) & _U(1), out=hits[1:], dtype=np.int32)
             count = hits[np.maximum(at, np.minimum(at + hi + allowed(hi, max_edit), stop) - g + 1)] - hits[:n]
-            ok &= count >= max(1 if g == 2 else 0, lo - g + 1 - g * allowed(lo, max_edit))
+            ok &= count >= max(1 if g == 2 else 0, least_runs(lo, hi, g, max_edit))
             total += count
         same = row[1:] == row[:-1]
         ok[1:] &= ~same | (total[1:] >= total[:-1])
