@@ -435,3 +435,22 @@ def test_no_length_of_a_class_is_passed_over():
                 words[3 + 4 * e if n > 10 else 2 + 4 * e] = "zzz"
             found += 1 in matched([(1, item), (2, least)], prose(rng, 20) + " " + " ".join(words) + " " + prose(rng, 20))
         assert found >= 36, n
+
+
+@pytest.mark.parametrize("n", [55, 90, 120, 200, 300])
+def test_long_items_edited_at_the_limit_are_found(n):
+    rng = random.Random(n)
+    for kind in ("replace", "insert", "mixed"):
+        found = 0
+        for _ in range(20):
+            item = prose(rng, n)
+            words = item.split()
+            for p in sorted(rng.sample(range(n), cgk.allowed(n, 0.2)), reverse=True):
+                if kind == "insert" or kind == "mixed" and rng.random() < 1 / 3:
+                    words.insert(p, "zzz")
+                elif kind == "mixed" and rng.random() < 0.5:
+                    words.pop(p)
+                else:
+                    words[p] = "zzz"
+            found += 1 in matched([(1, item)], prose(rng, 30) + " " + " ".join(words) + " " + prose(rng, 30))
+        assert found >= 18, kind

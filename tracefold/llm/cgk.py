@@ -7,6 +7,10 @@ which a small edit distance is a small Hamming distance with good probability. E
 and samples ``sampled`` coordinates, which form an LSH key; items and windows that share a key are candidates, and
 each is verified by exact edit distance.
 
+The walk drifts with the number of edits, so that items of over ``PIECE`` tokens are also cut into pieces of like length, which
+are matched as items are. Of k edits to an item some piece has at most its own share (else they would be more than k),
+so that a piece is within its own limit wherever the item leaks; the whole item is then verified around it.
+
 Windows are as long as the items (items of like length form a class, and a window is walked over the least
 length of its class) and may start at each token of a document. Before the walk, windows that no item can match
 are passed over: k edits spare at least n - 1 - 2 k of an item's token pairs, so a window (with room for k
@@ -33,6 +37,7 @@ from .common import kept
 
 MAX_EDIT, REPEATS, SAMPLED, LEAST_TOKENS, TABLE, CLASSES, MOST_ITEMS = 0.2, 24, 3, 4, 1 << 20, 62, 20_000
 GRAMS = (2, 3)
+PIECE = 32
 _U = np.uint64
 _NONE = _U(0)
 
@@ -93,8 +98,9 @@ def matrix(parts: list[np.ndarray], n: int) -> np.ndarray:
 def edit_distances(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     """The least edit distance of each item to any passage of its window."""
     out = np.zeros(len(items), np.int64)
-    for s in range(0, len(items), 2048):
-        a, b = items[s : s + 2048], windows[s : s + 2048]
+    step = max(1, min(2048, (1 << 18) // max(map(len, windows), default=1)))
+    for s in range(0, len(items), step):
+        a, b = items[s : s + step], windows[s : s + step]
         n, m = max(map(len, a)), max(1, max(map(len, b)))
         x, y = np.zeros((len(a), n), _U), np.full((len(a), m), _U(1))
         for i, (u, v) in enumerate(zip(a, b)):
@@ -110,7 +116,7 @@ def edit_distances(items: list[np.ndarray], windows: list[np.ndarray]) -> np.nda
             d = np.minimum.accumulate(new - col, axis=1) + col
             done = size == i + 1
             best[done] = d[done].min(axis=1)
-        out[s : s + 2048] = best
+        out[s : s + step] = best
     return out
 
 
@@ -127,16 +133,26 @@ class Items:
             if len(tok) >= LEAST_TOKENS:
                 self.ids.append(item)
                 self.tokens.append(tok)
-        self.classes = length_classes([len(x) for x in self.tokens])
-        self.of = [next(c for c, (a, b) in enumerate(self.classes) if a <= len(x) <= b) for x in self.tokens]
+        self.pieces: list[np.ndarray] = []
+        self.item_of: list[int] = []
+        self.offset: list[int] = []
+        for i, tok in enumerate(self.tokens):
+            parts = -(-len(tok) // PIECE)
+            ends = [len(tok) * k // parts for k in range(parts + 1)]
+            for a, b in [*zip(ends, ends[1:]), *[(0, len(tok))] * (parts > 1)]:
+                self.pieces.append(tok[a:b])
+                self.item_of.append(i)
+                self.offset.append(a)
+        self.classes = length_classes([len(x) for x in self.pieces])
+        self.of = [next(c for c, (a, b) in enumerate(self.classes) if a <= len(x) <= b) for x in self.pieces]
         self.masks = [np.zeros(TABLE, _U) for _ in GRAMS]
-        for c, tok in zip(self.of, self.tokens):
+        for c, tok in zip(self.of, self.pieces):
             for g, mask in zip(GRAMS, self.masks):
                 np.bitwise_or.at(mask, runs(tok, g), _U(1) << _U(c))
 
     def keys(self, repeats: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
-        """All LSH keys in order, and the number of the item that each belongs to."""
-        found = [walks(matrix([tok], self.classes[c][0]), c, repeats, sampled)[0] for tok, c in zip(self.tokens, self.of)]
+        """All LSH keys in order, and the number of the piece that each belongs to."""
+        found = [walks(matrix([tok], self.classes[c][0]), c, repeats, sampled)[0] for tok, c in zip(self.pieces, self.of)]
         key, item = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(len(found)), repeats)
         order = np.argsort(key, kind="stable")
         return key[order], item[order]
@@ -157,12 +173,12 @@ def _windows(items: Items, repeats: int, sampled: int):
     key_of, item_of = items.keys(repeats, sampled)
 
     def candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs (window, item) that share a key."""
+        """The pairs (window, piece) that share a key."""
         lo, hi = np.searchsorted(key_of, keys.ravel(), "left"), np.searchsorted(key_of, keys.ravel(), "right")
         n = hi - lo
         which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.unique(np.repeat(np.arange(len(keys)).repeat(repeats), n) * len(items.ids) + item_of[which])
-        return both // len(items.ids), both % len(items.ids)
+        both = np.unique(np.repeat(np.arange(len(keys)).repeat(repeats), n) * len(items.pieces) + item_of[which])
+        return both // len(items.pieces), both % len(items.pieces)
 
     def starts(t: tv.Tokens, row: np.ndarray, seen: list[np.ndarray], stop: np.ndarray, c: int) -> np.ndarray:
         """Starts of the windows of a class that may match."""
@@ -203,15 +219,23 @@ def _windows(items: Items, repeats: int, sampled: int):
                         for x in starts(t, row, seen, stop, c).tolist():
                             first, last = int(t.first[row[x]]), int(stop[x])
                             begin = max(first, x - slack)
-                            found.setdefault(c, []).append((ids[t.lo + row[x]], x - first, t.hash[begin : min(last, x + hi + 2 * slack)].copy(), t.hash[x : min(last, x + hi)].copy()))
+                            found.setdefault(c, []).append((ids[t.lo + row[x]], x - first, t.hash[begin : min(last, x + hi + 2 * slack)].copy(), t.hash[x : min(last, x + hi)].copy(), t.hash, first, last, x))
             for c, rows in found.items():
                 w, i = candidates(walks(matrix([r[3] for r in rows], classes[c][0]), c, repeats, sampled))
-                d = edit_distances([items.tokens[x] for x in i], [rows[x][2] for x in w])
-                ok = np.flatnonzero(d <= np.array([allowed(len(items.tokens[x]), max_edit) for x in i], np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[x][0] for x in w[ok]], pa.int64()), pa.array([items.ids[x] for x in i[ok]], pa.int64()), pa.array([rows[x][1] for x in w[ok]], pa.int32()), pa.array(d[ok].astype(np.int32))],
-                    ["doc_id", "item_id", "at", "distance"],
-                )
+                d = edit_distances([items.pieces[x] for x in i], [rows[x][2] for x in w])
+                near = np.flatnonzero(d <= np.array([allowed(len(items.pieces[x]), max_edit) for x in i], np.int64))
+                hits, whole = [], {}
+                for x, piece, distance in zip(w[near].tolist(), i[near].tolist(), d[near].tolist()):
+                    item = items.item_of[piece]
+                    n, (doc, at, _, _, tokens, first, last, x) = len(items.tokens[item]), rows[x]
+                    if n == len(items.pieces[piece]):
+                        hits.append((doc, items.ids[item], at, distance))
+                    else:
+                        start, room = x - items.offset[piece], 2 * allowed(n, max_edit) + allowed(classes[c][1], max_edit)
+                        whole[id(tokens), first, item, start] = (doc, item, max(0, start - first), tokens[max(first, start - room) : min(last, start + n + room)])
+                far = edit_distances([items.tokens[r[1]] for r in whole.values()], [r[3] for r in whole.values()])
+                hits.extend((doc, items.ids[item], at, distance) for (doc, item, at, _), distance in zip(whole.values(), far.tolist()) if distance <= allowed(len(items.tokens[item]), max_edit))
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "at", "distance"])
 
     return run
 
@@ -228,7 +252,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, rep
     """Rows (doc_id, item_id, at, distance): each document that holds a passage of a benchmark item, at its best place.
 
     Reads doc_id and text; item_id and text. ``at`` is the number of the token where the best window begins,
-    distance the token edit distance there. Null ids, null or empty texts give no rows, nor do items of under four
+    distance the token edit distance there; of items of over ``PIECE`` tokens it is where the piece that matched puts their first. Null ids, null or empty texts give no rows, nor do items of under four
     tokens, which are no evidence. Ties go to the least ``at``. Repeated documents or items (rows of the same id)
     count once. Documents shorter than an item are matched whole. Empty tables give no rows.
     """
