@@ -45,6 +45,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Each of ``names``, with as many underscores as it takes to be none of ``taken`` (case doesn't count)."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def kept(df: DataFrame, judge: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows of ``df``, all columns, for which ``judge`` says true: a narrow pass, nothing is shuffled."""
 
