@@ -48,6 +48,20 @@ def test_tokens_are_those_of_the_regular_expression():
     assert a[0] == a[2] == b[1] and a[1] == b[0] and a[0] != a[1]
 
 
+def test_columns_of_any_name_pass_through(spark):
+    """Those that the operators themselves use inside are no exception."""
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 30) + " mail ann.b@mail7.example.com now\nanother line of words that is the same", "en", "s", 1) for i in range(4)] + [(9, prose(rng, 30), "en", "s", 1)]
+    base = spark.createDataFrame([*rows, (10, rows[0][1], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["bits", "bucket", "__b", "__on", "__id", "__gone", "__s", "gone", "key", "on", "spans", "hash", "rank", "node", "root", "Key_", "at", "line", "was"]
+    df = base.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    bench = spark.createDataFrame([(1, rows[4][1])], "item_id long, text string")
+    for out in (fuzzy_lines.dedup_lines(df), odd_sketch.drop_near_duplicates(df), pii.redact(df), cgk.decontaminate(df, bench), cotraining.keep_good(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names)
+
+
 # --- 1 PII
 
 
@@ -275,24 +289,39 @@ def test_archive_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long")
     payloads, headers = warc.archive(pages)
     assert payloads.count() == 3 and headers.count() == 6
-    warc.write_archive(pages, str(tmp_path / "a"))
-    back = warc.read_archive(spark, str(tmp_path / "a")).collect()
-    assert sorted((r.page_id, r.record.split("\r\n\r\n", 1)[1]) for r in back) == sorted((i, h or "") for i, _, h, _ in rows if i is not None)
-    assert all(f"Content-Length: {len(r.record.split(chr(13) + chr(10) + chr(13) + chr(10), 1)[1].encode())}\r\n" in r.record for r in back)
+    warc.write_archive(payloads, headers, str(tmp_path / "a"))
+    back = warc.reconstruct(*warc.read_archive(spark, str(tmp_path / "a"))).collect()
+    bodies = [(r.page_id, r.record.split("\r\n\r\n", 1)[1].removesuffix("\r\n\r\n")) for r in back]
+    assert sorted(bodies) == sorted((i, h or "") for i, _, h, _ in rows if i is not None)
+    assert all(f"Content-Length: {len(x.encode())}\r\n" in r.record for r, (_, x) in zip(back, bodies))
     assert {r.stored_by for r in back if r.page_id == 2} == {1}
     assert warc.reconstruct(*warc.archive(pages.limit(0))).count() == 0
     with pytest.raises(Exception, match="match"):
         warc.reconstruct(payloads.withColumn("payload", F.encode(F.lit("no"), "UTF-8")), headers).collect()
 
 
-def test_warc_files_are_parsed(spark, tmp_path):
+def test_warc_files_come_back_byte_for_byte(spark, tmp_path):
+    """Plain and gzipped files, several members, bytes that are no UTF-8, a payload with blank lines, odd headers, a cut end."""
     import gzip
 
-    rec = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
-    (tmp_path / "a.warc").write_bytes(rec + rec)
-    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(rec))
-    got = warc.parse_warc(spark, str(tmp_path)).collect()
-    assert len(got) == 3 and {bytes(r.payload) for r in got} == {b"hello"}
+    def rec(payload, more=b"", say=None):
+        return b"WARC/1.1\r\nWARC-Type: response\r\n" + more + b"Content-Length:  %d\r\n\r\n" % (len(payload) if say is None else say) + payload + b"\r\n\r\n"
+
+    same = bytes(range(256)) * 40 + b"\r\n\r\nWARC/1.0 isn't a record here"
+    recs = [rec(b"hello", b"X-Odd: caf\xe9\r\n"), rec(same), rec(same, b"content-type: a\r\n"), rec(b""), b"WARC/1.0\nno: length\n\n\r\n"]
+    plain, cut = b"".join(recs), b"".join(recs[:2]) + rec(b"too short", say=5000)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(plain)
+    (tmp_path / "w/b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in recs))
+    (tmp_path / "w/c.warc").write_bytes(cut)
+    (tmp_path / "w/d.warc").write_bytes(b"")
+    parsed = warc.parse_warc(spark, str(tmp_path / "w"), batch_bytes=1000)
+    payloads, headers = warc.store(parsed, "path", "record_no")
+    assert parsed.count() == 13 and payloads.count() == 4
+    got = {}
+    for r in warc.restored(payloads, headers).orderBy("path", "record_no").collect():
+        got[r.path[-7:].lstrip("/w")] = got.get(r.path[-7:].lstrip("/w"), b"") + bytes(r.record)
+    assert sorted(got.values()) == sorted([plain, plain, cut])
 
 
 # --- 7 embeddings
@@ -330,25 +359,77 @@ def test_dense_shards_are_cut():
 # --- 8 packing
 
 
-def test_packing_keeps_every_token(spark):
+def packed_plainly(parts, window, most):
+    """Bounded-space best fit, told again with lists: the windows of each partition, and those left over, as lists of pieces."""
+    done, left = [], []
+    for k, docs in enumerate(parts):
+        opened = []
+        for doc, text in docs:
+            toks = text.split()
+            for at in range(0, len(toks), window):
+                n = min(window, len(toks) - at)
+                if n == window:
+                    done.append([(doc, at, n)])
+                    continue
+                fits = [w for w in opened if sum(p[2] for p in w) + n <= window]
+                if fits:
+                    w = max(fits, key=lambda w: sum(p[2] for p in w))
+                else:
+                    if len(opened) == most:
+                        w = max(opened, key=lambda w: sum(p[2] for p in w))
+                        opened.remove(w)
+                        done.append(w)
+                    w = []
+                    opened.append(w)
+                w.append((doc, at, n))
+                if sum(p[2] for p in w) == window:
+                    opened.remove(w)
+                    done.append(w)
+        left += opened
+    return done, left
+
+
+def test_packing_against_lists(spark):
     rng = random.Random(8)
-    rows = [(i, prose(rng, rng.choice([1, 5, 60, 99, 100, 101, 350]))) for i in range(200)] + odd_rows()
-    got = packing.pack(docs_df(spark, rows), window=100, open_windows=4).collect()
-    want = {}
+    rows = [(i, prose(rng, rng.choice([1, 5, 60, 99, 100, 101, 350])).replace(" ", rng.choice([" ", "\n", " \t "]))) for i in range(200)] + odd_rows()
+    df = docs_df(spark, rows).repartition(3).cache()
+    parts = [[(i, t) for i, t in p if i is not None and t and t.split()] for p in df.select("doc_id", "text").rdd.glom().collect()]
+    got = packing.pack(df, window=100, open_windows=4).collect()
+    windows, text = {}, {}
     for i, t in rows:
-        if i is not None and (t or "").split():
-            want[i] = want.get(i, 0) + len(t.split())
-    have, fill = {}, {}
+        text.setdefault(i, []).append((t or "").split())
     for r in got:
-        have[r.doc_id] = have.get(r.doc_id, 0) + r.tokens
-        fill.setdefault(r.window_id, []).append(r)
-    assert have == want
-    for rs in fill.values():
-        assert sum(r.tokens for r in rs) == rs[0].fill <= 100 and sorted(r.slot for r in rs) == list(range(1, len(rs) + 1))
-    assert len(fill) <= 1.1 * sum(want.values()) / 100 + 1
+        windows.setdefault(r.window_id, []).append(r)
+        assert any(r.text.split() == toks[r.first_token : r.first_token + r.tokens] for toks in text[r.doc_id])
+        assert any(r.text in (t or "") for i, t in rows if i == r.doc_id)
+    for rs in windows.values():
+        rs.sort(key=lambda r: r.slot)
+        assert [r.slot for r in rs] == list(range(1, len(rs) + 1)) and {r.fill for r in rs} == {sum(r.tokens for r in rs)} and rs[0].fill <= 100
+        assert [r.start for r in rs] == [sum(x.tokens for x in rs[:k]) for k in range(len(rs))]
+    done, left = packed_plainly([[(i, " ".join(t.split())) for i, t in p] for p in parts], 100, 4)
+    emitted = sorted([(r.doc_id, r.first_token, r.tokens) for r in rs] for w, rs in windows.items() if not w.startswith("m"))
+    assert emitted == sorted(done)
+    merged = sorted(sorted((r.doc_id, r.first_token, r.tokens) for r in rs) for w, rs in windows.items() if w.startswith("m"))
+    assert sorted(p for w in merged for p in w) == sorted(p for w in left for p in w)
+    assert len(windows) <= 1.1 * sum(r.tokens for r in got) / 100 + 1
     assert packing.pack(docs_df(spark, []), window=100).count() == 0
 
 
+def test_packing_by_a_tokenizer(spark, tmp_path):
+    """Pieces of a document put together are its text but for outer blanks, whatever the tokenizer."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({"a": 0, "[UNK]": 1}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "t.json"))
+    rows = [(1, "a b, é漢字! a " * 40), (2, "a"), (3, ""), (4, None)]
+    got = {}
+    for r in sorted(packing.pack(docs_df(spark, rows), window=7, open_windows=2, tokenizer=str(tmp_path / "t.json")).collect(), key=lambda r: (r.doc_id, r.first_token)):
+        got[r.doc_id] = got.get(r.doc_id, "") + r.text
+        assert r.fill <= 7
+    assert got == {1: rows[0][1].rstrip(), 2: "a"}
+
+
 def test_shelf_is_best_fit_and_bounded():
     shelf = packing.Shelf(10, 2)
     assert shelf.place(6, "a") == [] and shelf.place(5, "b") == [] and shelf.place(4, "c") == [(0, ["a", "c"])]

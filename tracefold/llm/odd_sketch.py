@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import connected, written
+from .common import connected, fresh, written
 
 BANDS, ROWS, BITS, THRESHOLD = 25, 5, 512, 0.7
 _NONE = np.uint32(0xFFFFFFFF)
@@ -85,37 +85,38 @@ def tree(ids: np.ndarray, words: np.ndarray, most: int) -> Iterator[tuple[np.nda
 
 def _edges(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple | None = None
-
-        def groups(key, ids, sketch, last):
-            """Emits all whole groups; gives back the last one, which may go on."""
-            cut = np.flatnonzero(np.diff(key)) + 1 if len(key) else np.zeros(0, int)
-            start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-            if not last:
-                keep = slice(start[-1], None)
-                start, end = start[:-1], end[:-1]
-            out = []
-            for s, e in zip(start[end - start > 1], end[end - start > 1]):
-                _, one = np.unique(ids[s:e], return_index=True)
-                words = np.frombuffer(np.ascontiguousarray(sketch[s:e][one]).tobytes(), np.uint64).reshape(len(one), -1)
-                out.extend(tree(ids[s:e][one], words, most))
-            rb = pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]) if out else np.zeros(0), pa.int64() if i < 2 else pa.int32()) for i in range(3)], ["a", "b", "odd"])
-            return rb, None if last else (key[keep], ids[keep], sketch[keep])
+        open_key, parts = None, []  # the last key's rows, which may go on in the next batch
+
+        def emit(ids: np.ndarray, sketch: np.ndarray) -> list[tuple]:
+            _, one = np.unique(ids, return_index=True)
+            return list(tree(ids[one], np.frombuffer(np.ascontiguousarray(sketch[one]).tobytes(), np.uint64).reshape(len(one), -1), most)) if len(one) > 1 else []
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]) if out else np.zeros(0), pa.int64() if i < 2 else pa.int32()) for i in range(3)], ["a", "b", "odd"])
+
+        def close() -> list[tuple]:
+            return emit(*(np.concatenate([x[i] for x in parts]) for i in range(2))) if parts else []
 
         for b in batches:
             if not b.num_rows:
                 continue
-            width = b.column(2).type.byte_width if pa.types.is_fixed_size_binary(b.column(2).type) else None
-            col = b.column(2)
-            data = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(b.num_rows, -1) if width is None else np.frombuffer(col.buffers()[1], np.uint8)
-            now = (b.column(0).to_numpy(), b.column(1).to_numpy(), data)
-            if rest is not None:
-                now = tuple(np.concatenate([x, y]) for x, y in zip(rest, now))
-            rb, rest = groups(*now, False)
-            if rb.num_rows:
-                yield rb
-        if rest is not None:
-            yield groups(*rest, True)[0]
+            key, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            sketch = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            end = np.append(start[1:], len(key))
+            if key[0] == open_key:
+                parts.append((ids[: end[0]], sketch[: end[0]]))
+                if len(start) == 1:
+                    continue
+                start, end = start[1:], end[1:]
+            out = close()
+            for s, e in zip(start[:-1], end[:-1]):
+                if e - s > 1:
+                    out.extend(emit(ids[s:e], sketch[s:e]))
+            open_key, parts = key[-1], [(ids[start[-1] :], sketch[start[-1] :])]
+            if out:
+                yield batch(out)
+        yield batch(close())
 
     return run
 
@@ -148,7 +149,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     Reads doc_id and text. dup_of is the least doc_id of the group of documents connected by verified pairs;
     similarity is the estimate for the closest verified pair that the document is the greater part of, null where
     that pair is only reached through others. Null doc_ids and documents without a token (null, empty, punctuation
-    only) are in no group. Rows that repeat a doc_id with the same text count once; with other texts, the document
+    only) are in no group. A pair counts as verified from an estimate of ``threshold`` on, which takes pairs of a true
+    similarity of 0.70 in half of all cases, of 0.75 in 87 % and of 0.80 in 99 %. Rows that repeat a doc_id with the same text count once; with other texts, the document
     is in the groups of each. Ties and copies fall to the least doc_id. An empty table gives no rows.
     """
     most = most_odd(threshold, bits, bands * rows)
@@ -167,5 +169,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """``docs`` without the documents that are near-duplicates of a lesser doc_id; rows without a doc_id stay, and so do repeats of a row that is kept."""
-    gone = near_duplicates(docs, **params).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (own,) = fresh(docs.columns, "gone")
+    gone = near_duplicates(docs, **params).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[own], "left_anti")

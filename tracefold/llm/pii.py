@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 NAMES = frozenset("alice anna antonio bernd carlos carmen charles claire david elena emma francois george hans heinrich helen henri isabel jacques james jean jennifer johann john jose juan julia karl katrin laura linda louis lucia luis margaret maria marie mary michael miguel monika patricia paul pedro peter pierre robert sabine sarah sofia stefan susan thomas ursula william wolfgang".split())
 TLDS = frozenset("ai at au be br ca ch cn co com de edu es eu fr gov in info int io it jp me mil mx net nl org pl pt ru se uk us".split())
@@ -211,12 +211,13 @@ def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every PII span replaced by its kind in brackets; rows without a doc_id or text stay as they are."""
-    per = spans(docs, threshold).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("__s"))
-    joined = docs.join(per, F.col("doc_id") == F.col("__id"), "left")
+    key, own = fresh(docs.columns, "key", "spans")
+    per = spans(docs, threshold).groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias(own))
+    joined = docs.join(per, docs["doc_id"].cast("long") == per[key], "left")
     cut = F.aggregate(
-        F.col("__s"),
+        F.col(own),
         F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda a, s: F.when(s.start < a.at, a).otherwise(F.struct(F.concat(a.done, F.substring(F.col("text"), a.at + 1, s.start - a.at), F.lit("["), s.kind, F.lit("]")).alias("done"), s.stop.alias("at"))),
         lambda a: F.concat(a.done, F.substring(F.col("text"), a.at + 1, F.length("text"))),
     )
-    return joined.withColumn("text", F.when(F.col("__s").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
