@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over documents, each written and reread before the next.
 
-Quality classification rejects documents, line deduplication rewrites texts, near-deduplication keeps one document of each
+Quality classification rejects documents, line deduplication rewrites texts and drops what is left of copies, near-deduplication keeps one document of each
 group, decontamination drops documents that leak a benchmark item, and packing lays the rest out in windows.
 """
 
@@ -12,19 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import cgk, cotraining, fuzzy_lines, odd_sketch, packing
-from tracefold.llm.common import shared_dir, table
+from tracefold.llm.common import fresh, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cotraining.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: A document that keeps less than this share of its characters says hardly anything that others don't.
+LEAST_LEFT = 0.25
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rewrites text and, with it, n_chars."""
-    before = docs.withColumn("__old", F.col("text"))
-    out = fuzzy_lines.dedup_lines(before)
-    changed = ~F.col("text").eqNullSafe(F.col("__old"))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Rewrites text and, with it, n_chars.
+
+    A document of which less than ``LEAST_LEFT`` is left, so that what is left is scraps of a copy, is dropped, an emptied one
+    too. Documents that nothing is taken from stay as they are, empty ones included.
+    """
+    was, now = fresh(docs.columns, "was", "now")
+    out = fuzzy_lines.dedup_lines(docs.withColumn(was, F.length("text"))).withColumn(now, F.length("text"))
+    changed = F.coalesce(F.col(now) < F.col(was), F.lit(False))
+    kept = out.where(~changed | (F.col(now) >= LEAST_LEFT * F.col(was)))
+    return kept.withColumn("n_chars", F.when(changed, F.col(now).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
