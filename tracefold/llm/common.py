@@ -7,6 +7,7 @@ columns, whatever their names, make no difference.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,6 +46,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the executors delete the shuffle files of what is done with; Spark does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """Each of ``names``, with as many underscores as it takes to be none of ``taken`` (case doesn't count)."""
     used, out = {x.lower() for x in taken}, []
