@@ -26,6 +26,8 @@ class Config:
     value_stubs: bool = False
     rationale_stubs: bool = False
     anchor_stubs: bool = False
+    repair: bool = False
+    trim_arrays: bool = False
     strict: bool = False
 
     def with_(self, **changes) -> Config:
@@ -73,8 +75,8 @@ def register_pattern(kind: str, pattern: str, linking: bool = True) -> None:
 
 
 def use_tokenizer(encode: Callable[[str], list] | None) -> None:
-    """Counts tokens by ``encode`` in kernels run by this process; None is the built-in (runs of blanks and non-blanks)."""
-    D.tokens = (lambda text: len(encode(text or ""))) if encode else (lambda text: len(re.findall(r"\S+|\s+", text or "")))
+    """Counts tokens by ``encode`` in all kernels planned from here on, wherever they run; None is the built-in (runs of blanks and non-blanks)."""
+    D.ENCODE = encode
 
 
 def tokenizer_from(path: str) -> Callable[[str], list]:

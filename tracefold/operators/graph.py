@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tracefold.functions import text as T
 
 
-def artifacts(messages: DataFrame, kinds: tuple[str, ...] = tuple(T.PATTERNS)) -> DataFrame:
-    """(trace_id, msg_idx, role, kind, value): the distinct values of each kind in each message."""
+def artifacts(messages: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(trace_id, msg_idx, role, kind, value): the distinct values of each kind (all that are registered) in each message."""
+    kinds = tuple(T.PATTERNS) if kinds is None else kinds
     found = F.array(*(F.struct(F.lit(k).alias("kind"), T.matches(F.concat_ws(" ", "content", "tool_args"), k).alias("vs")) for k in kinds))
     return messages.select("trace_id", "msg_idx", "role", F.explode(found).alias("k")).select("trace_id", "msg_idx", "role", "k.kind", F.explode("k.vs").alias("value"))
 
@@ -32,10 +33,15 @@ def first_producers(arts: DataFrame) -> DataFrame:
     return arts.groupBy("trace_id", "value").agg(F.min("msg_idx").alias("first_idx"))
 
 
+def _owned(arts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(trace_id, msg_idx, value, kind): every value of every message once, with the kind of the message's decision, if it has one."""
+    return arts.select("trace_id", "msg_idx", "value").distinct().join(decisions.select("trace_id", "msg_idx", "kind"), ["trace_id", "msg_idx"], "left")
+
+
 def dependency_edges(arts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(trace_id, value, origin, consumer): a decision depends on the earlier message that first had its value."""
-    used = arts.join(decisions.select("trace_id", "msg_idx"), ["trace_id", "msg_idx"], "left_semi").select("trace_id", "msg_idx", "value").distinct()
-    return used.join(first_producers(arts), ["trace_id", "value"]).where("first_idx < msg_idx").select("trace_id", "value", F.col("first_idx").alias("origin"), F.col("msg_idx").alias("consumer"))
+    """(trace_id, value, origin, consumer): a decision depends on the earlier message that first had its value. Artifacts are read once."""
+    first = F.min("msg_idx").over(W.partitionBy("trace_id", "value"))
+    return _owned(arts, decisions).withColumn("origin", first).where("kind is not null and origin < msg_idx").select("trace_id", "value", "origin", F.col("msg_idx").alias("consumer"))
 
 
 def attached(arts: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -51,7 +57,8 @@ def corroborated(arts: DataFrame, least: int = 2) -> DataFrame:
 
 def causal_edges(arts: DataFrame) -> DataFrame:
     """(trace_id, src, dst): from the message that first has a linking value to each later one that has it."""
-    return arts.join(first_producers(arts), ["trace_id", "value"]).where("first_idx < msg_idx").select("trace_id", F.col("first_idx").alias("src"), F.col("msg_idx").alias("dst")).distinct()
+    first = F.min("msg_idx").over(W.partitionBy("trace_id", "value"))
+    return arts.select("trace_id", "msg_idx", "value").withColumn("src", first).where("src < msg_idx").select("trace_id", "src", F.col("msg_idx").alias("dst")).distinct()
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -109,22 +116,39 @@ def idf(messages: DataFrame, arts: DataFrame, smooth: float = 1.0) -> DataFrame:
 WEIGHTS = {"action": 2.0, "judgment": 1.5, "confirmation": 1.0}
 
 
+def _shared(messages: DataFrame, arts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(trace_id, msg_idx, value, d, kind, idf): the messages and the decisions that share a value; artifacts, decisions and messages are read once each."""
+    n = messages.groupBy("trace_id").agg(F.count("*").alias("n"))
+    per = _owned(arts, decisions).groupBy("trace_id", "value").agg(F.collect_list("msg_idx").alias("ms"), F.collect_list(F.when(F.col("kind").isNotNull(), F.struct(F.col("msg_idx").alias("d"), "kind"))).alias("ds"))
+    per = per.where(F.size("ds") > 0).withColumn("frequency", F.size(F.array_distinct("ms"))).join(n, "trace_id")
+    rows = per.select("trace_id", "value", F.round(F.log((F.col("n") + 1.0) / (F.col("frequency") + 1.0)) + 1, 6).alias("idf"), F.array_distinct("ms").alias("ms"), F.explode("ds").alias("x"))
+    return rows.select("trace_id", F.explode("ms").alias("msg_idx"), "value", "x.d", "x.kind", "idf")
+
+
 def centrality(messages: DataFrame, arts: DataFrame, decisions: DataFrame, tau: float = 5.0) -> DataFrame:
     """(trace_id, msg_idx, centrality): sum of idf * weight * exp(-distance / tau) over the values shared with decisions."""
     weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("kind")]
-    values = arts.select("trace_id", "msg_idx", "value").distinct()
-    owned = decisions.select("trace_id", F.col("msg_idx").alias("d"), weight.alias("w")).join(values.withColumnRenamed("msg_idx", "d"), ["trace_id", "d"])
-    both = values.join(owned, ["trace_id", "value"]).join(idf(messages, arts).select("trace_id", "value", "idf"), ["trace_id", "value"])
-    part = F.col("idf") * F.col("w") * F.exp(-F.greatest(F.col("d") - F.col("msg_idx"), F.lit(0)) / tau)
-    return both.groupBy("trace_id", "msg_idx").agg(F.round(F.sum(part), 6).alias("centrality"))
+    part = F.col("idf") * weight * F.exp(-F.greatest(F.col("d") - F.col("msg_idx"), F.lit(0)) / tau)
+    return _shared(messages, arts, decisions).groupBy("trace_id", "msg_idx").agg(F.round(F.sum(part), 6).alias("centrality"))
 
 
 def causal_flow(messages: DataFrame, arts: DataFrame, decisions: DataFrame, tau: float = 5.0) -> DataFrame:
     """(trace_id, msg_idx, decision, flow): idf * exp(-distance / tau) over values shared with an earlier message, as coordinates."""
-    values = arts.select("trace_id", "msg_idx", "value").distinct()
-    owned = decisions.select("trace_id", F.col("msg_idx").alias("decision")).join(values.withColumnRenamed("msg_idx", "decision"), ["trace_id", "decision"])
-    both = values.join(owned, ["trace_id", "value"]).where("msg_idx < decision").join(idf(messages, arts).select("trace_id", "value", "idf"), ["trace_id", "value"])
-    return both.groupBy("trace_id", "msg_idx", "decision").agg(F.round(F.sum(F.col("idf") * F.exp((F.col("msg_idx") - F.col("decision")) / tau)), 6).alias("flow"))
+    rows = _shared(messages, arts, decisions).where("msg_idx < d").withColumnRenamed("d", "decision")
+    return rows.groupBy("trace_id", "msg_idx", "decision").agg(F.round(F.sum(F.col("idf") * F.exp((F.col("msg_idx") - F.col("decision")) / tau)), 6).alias("flow"))
+
+
+def explained_variance(flow: DataFrame, k: int = 1) -> DataFrame:
+    """(trace_id, explained): the share of the ``k`` greatest singular values of a trace's flow matrix in the sum of their squares."""
+    import numpy as np
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot_table(index="msg_idx", columns="decision", values="flow", aggfunc="sum", fill_value=0.0).to_numpy()
+        s = np.linalg.svd(m, compute_uv=False) ** 2
+        return pd.DataFrame({"trace_id": [pdf.trace_id.iloc[0]], "explained": [round(float(s[:k].sum() / s.sum()) if s.sum() else 0.0, 6)]})
+
+    return flow.groupBy("trace_id").applyInPandas(one, "trace_id string, explained double")
 
 
 def spectral_importance(flow: DataFrame) -> DataFrame:
@@ -158,52 +182,17 @@ def spectral_importance(flow: DataFrame) -> DataFrame:
     return flow.select("trace_id", "msg_idx", "decision", "flow").repartition("trace_id").sortWithinPartitions("trace_id", "msg_idx", "decision").mapInPandas(run, "trace_id string, msg_idx int, importance double")
 
 
-WEIGHTS = {"action": 2.0, "judgment": 1.5, "confirmation": 1.0}
-
-
-def centrality(messages: DataFrame, arts: DataFrame, decisions: DataFrame, tau: float = 5.0) -> DataFrame:
-    """(trace_id, msg_idx, centrality): sum of idf * weight * exp(-distance / tau) over the values shared with decisions."""
-    weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("kind")]
-    values = arts.select("trace_id", "msg_idx", "value").distinct()
-    owned = decisions.select("trace_id", F.col("msg_idx").alias("d"), weight.alias("w")).join(values.withColumnRenamed("msg_idx", "d"), ["trace_id", "d"])
-    both = values.join(owned, ["trace_id", "value"]).join(idf(messages, arts).select("trace_id", "value", "idf"), ["trace_id", "value"])
-    part = F.col("idf") * F.col("w") * F.exp(-F.greatest(F.col("d") - F.col("msg_idx"), F.lit(0)) / tau)
-    return both.groupBy("trace_id", "msg_idx").agg(F.round(F.sum(part), 6).alias("centrality"))
-
-
-def causal_flow(messages: DataFrame, arts: DataFrame, decisions: DataFrame, tau: float = 5.0) -> DataFrame:
-    """(trace_id, msg_idx, decision, flow): idf * exp(-distance / tau) over values shared with an earlier message, as coordinates."""
-    values = arts.select("trace_id", "msg_idx", "value").distinct()
-    owned = decisions.select("trace_id", F.col("msg_idx").alias("decision")).join(values.withColumnRenamed("msg_idx", "decision"), ["trace_id", "decision"])
-    both = values.join(owned, ["trace_id", "value"]).where("msg_idx < decision").join(idf(messages, arts).select("trace_id", "value", "idf"), ["trace_id", "value"])
-    return both.groupBy("trace_id", "msg_idx", "decision").agg(F.round(F.sum(F.col("idf") * F.exp((F.col("msg_idx") - F.col("decision")) / tau)), 6).alias("flow"))
-
-
-def spectral_importance(flow: DataFrame) -> DataFrame:
-    """(trace_id, msg_idx, importance): row sums of U^2 S^2 of each trace's flow matrix, over their maximum. A grouped kernel for the SVD."""
-
-    def kernel(pdf):
-        import numpy as np
-        import pandas as pd
-
-        rows, r = np.unique(pdf.msg_idx, return_inverse=True)
-        cols, c = np.unique(pdf.decision, return_inverse=True)
-        m = np.zeros((len(rows), len(cols)))
-        m[r, c] = pdf.flow
-        u, s, _ = np.linalg.svd(m, full_matrices=False)
-        v = (u**2 * s**2).sum(1)
-        return pd.DataFrame({"trace_id": pdf.trace_id.iloc[0], "msg_idx": rows, "importance": v / v.max() if v.max() else v})
-
-    return flow.groupBy("trace_id").applyInPandas(kernel, "trace_id string, msg_idx int, importance double")
-
-
 def evidence_gate(messages: DataFrame, arts: DataFrame, decisions: DataFrame, least_tools: int = 2, density: float = 0.3, least_corroboration: int = 2) -> DataFrame:
     """Judgments and confirmations with tools_before and passes: whether tool results before them are evidence enough."""
     before = W.partitionBy("trace_id").orderBy("msg_idx").rowsBetween(W.unboundedPreceding, -1)
     seen = messages.select("trace_id", "msg_idx", F.coalesce(F.sum((F.col("role") == "tool").cast("int")).over(before), F.lit(0)).alias("tools"), F.count("*").over(before).alias("n"))
     rows = decisions.where("kind <> 'action'").join(seen, ["trace_id", "msg_idx"])
-    told = messages.where("role in ('tool', 'assistant')").select("trace_id", F.col("msg_idx").alias("m"), F.lower("content").alias("t"))
-    hits = rows.join(told, "trace_id").where((F.col("m") < F.col("msg_idx")) & (F.length("target") >= 3) & F.contains("t", F.lower("target"))).groupBy("trace_id", "msg_idx").agg(F.count("*").alias("hits"))
+    # a trace's decisions are held against its messages within one row, without pairing them up
+    told = messages.where("role in ('tool', 'assistant')").groupBy("trace_id").agg(F.collect_list(F.struct("msg_idx", F.lower("content").alias("t"))).alias("told"))
+    per = decisions.where("kind <> 'action'").groupBy("trace_id").agg(F.collect_list(F.struct("msg_idx", F.lower("target").alias("target"))).alias("ds")).join(told, "trace_id", "left")
+    count = F.transform("ds", lambda d: F.struct(d.msg_idx.alias("msg_idx"), F.when(F.length(d.target) >= 3, F.size(F.filter(F.coalesce("told", F.expr("cast(array() as array<struct<msg_idx:int,t:string>>)")), lambda m: (m.msg_idx < d.msg_idx) & F.contains(m.t, d.target)))).otherwise(0).alias("hits")))
+    hits = per.select("trace_id", F.explode(count).alias("h")).groupBy("trace_id", "h.msg_idx").agg(F.max("h.hits").alias("hits"))
+    rows = rows.join(hits, ["trace_id", "msg_idx"], "left")
     ok = (
         F.when((F.col("msg_idx") <= 0) | (F.col("tools") == 0), True)
         .when(F.col("tools") < least_tools, False)
@@ -211,7 +200,7 @@ def evidence_gate(messages: DataFrame, arts: DataFrame, decisions: DataFrame, le
         .when((F.col("kind") != "confirmation") | (F.length("target") < 3), True)
         .otherwise(F.coalesce("hits", F.lit(0)) >= least_corroboration)
     )
-    return rows.join(hits, ["trace_id", "msg_idx"], "left").select("trace_id", "msg_idx", "kind", F.col("tools").cast("long").alias("tools_before"), ok.alias("passes"))
+    return rows.select("trace_id", "msg_idx", "kind", F.col("tools").cast("long").alias("tools_before"), ok.alias("passes"))
 
 
 def referent_links(messages: DataFrame, lookback: int = 30) -> DataFrame:
@@ -231,3 +220,110 @@ def chain_integrity(messages_kept: DataFrame, arts: DataFrame, decisions: DataFr
     b = keep.select("trace_id", F.col("msg_idx").alias("consumer"), F.lit(1).alias("c"))
     g = e.join(a, ["trace_id", "origin"], "left").join(b, ["trace_id", "consumer"], "left").groupBy("trace_id").agg(F.count("*").alias("edges"), F.count(F.col("o") + F.col("c")).alias("intact"))
     return g.select("trace_id", "edges", "intact", F.round(F.col("intact") / F.col("edges"), 4).alias("rci"))
+
+
+# --- extended edges, integrity, repair
+
+
+def critical_edges(decisions: DataFrame) -> DataFrame:
+    """(trace_id, value, consumer): the critical values of full decisions (those of ``compress.extract``, with vals and target)."""
+    target = F.when(F.length("target").between(2, 60), F.array("target")).otherwise(F.expr("cast(array() as array<string>)"))
+    return decisions.select("trace_id", F.explode(F.array_distinct(F.concat("vals", target))).alias("value"), F.col("msg_idx").alias("consumer"))
+
+
+def extended_edges(arts: DataFrame, rules: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(trace_id, value, consumer): dependency edges and critical values, each once."""
+    base = dependency_edges(arts, rules).select("trace_id", "value", "consumer")
+    return base.unionByName(critical_edges(decisions)).distinct()
+
+
+def checked(edges: DataFrame, compressed: DataFrame) -> DataFrame:
+    """``edges`` with ``preserved``: whether the value can be read off the compressed trace, in whatever spelling."""
+    text = compressed.groupBy("trace_id").agg(F.concat_ws("\n", F.collect_list(F.concat_ws(" ", "content", "tool_name", "tool_args"))).alias("t"))
+    return edges.join(text, "trace_id", "left").withColumn("preserved", F.coalesce(T.recoverable(F.col("value"), F.col("t")), F.lit(False))).drop("t")
+
+
+def extended_integrity(edges: DataFrame, compressed: DataFrame) -> DataFrame:
+    """(trace_id, edges, preserved, rci) over the edges of ``extended_edges``; a trace without an edge has no row."""
+    g = checked(edges, compressed).groupBy("trace_id").agg(F.count("*").alias("edges"), F.sum(F.col("preserved").cast("long")).alias("preserved"))
+    return g.withColumn("rci", F.round(F.col("preserved") / F.col("edges"), 4))
+
+
+def owners(values: DataFrame, messages: DataFrame) -> DataFrame:
+    """(trace_id, value, owner, role): the first message of the original trace off which a value can be read.
+
+    A trace's values are held against its messages within one row, without pairing them up.
+    """
+    rows = messages.select("trace_id", "msg_idx", "role", F.concat_ws(" ", "content", "tool_name", "tool_args").alias("t"))
+    per = values.groupBy("trace_id").agg(F.collect_set("value").alias("vs")).join(rows.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("msg_idx", "role", "t"))).alias("ms")), "trace_id")
+    found = F.transform("vs", lambda v: F.struct(v.alias("value"), F.get(F.filter("ms", lambda m: T.recoverable(v, m.t)), F.lit(0)).alias("o")))
+    return per.select("trace_id", F.explode(found).alias("f")).where("f.o is not null").select("trace_id", "f.value", F.col("f.o.msg_idx").alias("owner"), F.col("f.o.role").alias("role"))
+
+
+def repaired(messages: DataFrame, compressed: DataFrame, edges: DataFrame, floor: float = 1.0, most_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(compressed traces with what they lost, report): one pass, so that a second one finds nothing to do that the first could.
+
+    Traces whose share of preserved edges is below ``floor`` get each missing value once, behind the message that first had
+    it, or in a message of its own where that is gone; values are taken by first use, and one that goes over ``most_tokens`` is
+    passed over, not the end. The report has (trace_id, added, tokens, shortfall, rci_before): shortfall are values that are over
+    the budget or in no message.
+    """
+    c = checked(edges, compressed)
+    rci = c.groupBy("trace_id").agg(F.round(F.avg(F.col("preserved").cast("double")), 4).alias("rci_before"))
+    lost = c.where("not preserved").groupBy("trace_id", "value").agg(F.min("consumer").alias("consumer")).join(rci.where(F.col("rci_before") < floor), "trace_id")
+    known = owners(lost, messages).select("trace_id", "value", "owner", "role")
+    all_lost = lost.join(known, ["trace_id", "value"], "left").withColumn("cost", F.when(F.col("owner").isNotNull(), T.token_count(F.col("value"))))
+    per = all_lost.groupBy("trace_id", "rci_before").agg(F.sort_array(F.collect_list(F.struct("consumer", "value", "owner", "role", "cost"))).alias("vs"))
+    if most_tokens is None:
+        taken = F.filter("vs", lambda v: v.owner.isNotNull())
+    else:
+        empty = F.expr("cast(array() as array<struct<consumer:int,value:string,owner:int,role:string,cost:int>>)")
+        fold = F.aggregate("vs", F.struct(F.lit(0).alias("spent"), empty.alias("out")), lambda a, v: F.when(v.owner.isNotNull() & (a.spent + v.cost <= most_tokens), F.struct((a.spent + v.cost).alias("spent"), F.concat(a.out, F.array(v)).alias("out"))).otherwise(a))
+        taken = fold.out
+    per = per.withColumn("taken", taken)
+    report = per.select("trace_id", F.size("taken").alias("added"), F.aggregate("taken", F.lit(0), lambda a, v: a + v.cost).alias("tokens"), F.transform(F.array_except("vs", "taken"), lambda v: v.value).alias("shortfall"), "rci_before")
+    stubs = per.select("trace_id", F.explode("taken").alias("v")).groupBy("trace_id", F.col("v.owner").alias("msg_idx"), F.col("v.role").alias("owner_role")).agg(F.sort_array(F.collect_list("v.value")).alias("values"))
+    none = F.lit(None).cast("string")
+    j = compressed.join(stubs, ["trace_id", "msg_idx"], "full")
+    added = F.concat_ws(" ", F.transform("values", lambda v: F.concat(F.lit("[repaired: "), v, F.lit("]"))))
+    alone = F.concat_ws(" ", F.transform("values", lambda v: F.concat(F.lit("[repaired from dropped message: "), v, F.lit("]"))))
+    content = F.when(F.col("values").isNull(), F.col("content")).when(F.col("role").isNull(), alone).otherwise(F.concat_ws(" ", F.nullif("content", F.lit("")), added))
+    out = j.select("trace_id", "msg_idx", F.coalesce("role", "owner_role").alias("role"), content.alias("content"), F.coalesce("tool_name", none).alias("tool_name"), F.coalesce("tool_args", none).alias("tool_args"))
+    return out, report
+
+
+# --- loss of decisions
+
+
+def decision_loss(edges: DataFrame, compressed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(trace_id, loss): the mean share of missing critical values over decisions, weighted by their kind; 0 where a decision has none."""
+    weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("kind")]
+    missing = checked(edges, compressed).groupBy("trace_id", F.col("consumer").alias("msg_idx")).agg(F.avg((~F.col("preserved")).cast("double")).alias("missing"))
+    j = decisions.select("trace_id", "msg_idx", F.coalesce(weight, F.lit(1.0)).alias("w")).join(missing, ["trace_id", "msg_idx"], "left")
+    return j.groupBy("trace_id").agg(F.round(F.sum(F.col("w") * F.coalesce("missing", F.lit(0.0))) / F.sum("w"), 6).alias("loss"))
+
+
+def marginal_loss(edges: DataFrame, compressed: DataFrame, decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(trace_id, candidate, gain): how much of the loss each further text (trace_id, candidate, text) would take away by itself."""
+    weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("kind")]
+    c = checked(edges, compressed)
+    size = c.groupBy("trace_id", "consumer").agg(F.count("*").alias("n"))
+    total = decisions.groupBy("trace_id").agg(F.sum(F.coalesce(weight, F.lit(1.0))).alias("total"))
+    own = decisions.select("trace_id", F.col("msg_idx").alias("consumer"), F.coalesce(weight, F.lit(1.0)).alias("w"))
+    lost = c.where("not preserved").join(size, ["trace_id", "consumer"]).join(own, ["trace_id", "consumer"]).join(total, "trace_id").withColumn("part", F.col("w") / F.col("n") / F.col("total"))
+    per = lost.groupBy("trace_id").agg(F.collect_list(F.struct("value", "part")).alias("ls"))
+    gain = F.aggregate(F.filter("ls", lambda v: T.recoverable(v.value, F.col("text"))), F.lit(0.0), lambda a, v: a + v.part)
+    return candidates.join(per, "trace_id", "left").select("trace_id", "candidate", F.round(F.coalesce(gain, F.lit(0.0)), 6).alias("gain"))
+
+
+def decision_graph(edges: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(trace_id, src, dst): an earlier decision of which a critical value is in the rationale of a later one."""
+    owner = edges.select("trace_id", F.lower("value").alias("v"), F.col("consumer").alias("src"))
+    bare = F.transform("rationale", lambda r: F.lower(F.trim(F.regexp_replace(r, r"^[^:=]*[:=]\s*", ""))))
+    why = decisions.select("trace_id", F.col("msg_idx").alias("dst"), F.explode(F.array_distinct(bare)).alias("v"))
+    return owner.join(why, ["trace_id", "v"]).where("src < dst").select("trace_id", "src", "dst").distinct()
+
+
+def upstream(graph: DataFrame) -> DataFrame:
+    """(trace_id, node, sources): the decisions that lead to each one."""
+    return graph.groupBy("trace_id", F.col("dst").alias("node")).agg(F.sort_array(F.collect_set("src")).alias("sources"))

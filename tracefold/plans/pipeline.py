@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.config import Config
+from tracefold.functions import text as T
 from tracefold.operators import compress as C
+from tracefold.operators import filler as L
 from tracefold.operators import graph as G
 from tracefold.operators import rationale as N
 from tracefold.operators import tools as X
@@ -23,6 +25,10 @@ def preprocess(messages: DataFrame, cfg: Config) -> DataFrame:
     """Runs of calls collapsed, listings compacted, repeated results replaced by a reference."""
     if cfg.collapse_runs:
         messages = X.collapse_runs(messages, cfg.least_run)
+    if cfg.prune_filler:
+        messages = L.prune(messages, L.usual_weights(messages.sparkSession))
+    if cfg.trim_arrays:
+        messages = X.rescalarise_arrays(messages)
     if cfg.compact_listings:
         messages = X.compact_listings(messages)
     if cfg.dedupe_tools:
@@ -41,6 +47,9 @@ def run(messages: DataFrame, cfg: Config = Config()) -> DataFrame:
         short = N.inject(short, N.comparative_stubs(N.comparatives(messages)))
     if cfg.anchor_stubs:
         short = N.inject(short, N.anchor_stubs(messages))
+    if cfg.repair:
+        rules = G.rule_decisions(messages)
+        short = G.repaired(messages, short, G.extended_edges(G.artifacts(messages, T.LINKING), rules, C.extract(messages)))[0]
     if cfg.strict and (bad := verify(messages, short).first()) is not None:
         raise DecisionLoss(f"trace {bad.trace_id}: {bad.value!r} of message {bad.msg_idx} is missing")
     return short

@@ -21,7 +21,10 @@ def from_documents(documents: DataFrame) -> DataFrame:
     """One message a document; a source is a trace."""
     from pyspark.sql import Window as W
 
-    order = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    # the window sees keys only, so that no source's texts come together in one task
+    keys = documents.select("doc_id", "source").withColumn("msg_idx", F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1)
+    order = F.col("msg_idx")
+    documents = documents.drop("msg_idx").join(keys.select(F.col("doc_id"), F.col("msg_idx")), "doc_id")
     return documents.select(F.col("source").alias("trace_id"), order.alias("msg_idx"), F.lit("user").alias("role"), F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("tool_args"))
 
 
@@ -95,14 +98,112 @@ def to_json(messages: DataFrame) -> DataFrame:
     return messages.groupBy("trace_id").agg(F.to_json(F.sort_array(F.collect_list(m))).alias("body"))
 
 
-def write_report(rows: DataFrame, path: str, kind: str, most: int = 10_000) -> None:
-    """A report as json, csv or parquet (written by executors), or as md or html (at most ``most`` rows, by the driver)."""
+def reshaped(content, text: str):
+    """``text`` in the shape that a content had: a text, an object with a text, or blocks, of which the first text block takes it and the others go."""
+    if content is None or isinstance(content, str):
+        return None if content is None else text
+    if isinstance(content, dict) and "text" in content:
+        return {**content, "text": text}
+    if isinstance(content, list):
+        out, placed = [], False
+        for block in content:
+            is_text = isinstance(block, dict) and block.get("type") in ("text", None) and "text" in block
+            if not is_text:
+                out.append(block)
+            elif not placed:
+                out.append({**block, "text": text})
+                placed = True
+        return out if placed or not text else [{"type": "text", "text": text}, *out]
+    return text
+
+
+def with_call(message: dict, name: str | None, args) -> dict:
+    """A message with its tool call where it had it: tool_call, or the first of tool_calls; a nested function keeps its form."""
+    if name is None:
+        return message
+
+    def filled(call: dict) -> dict:
+        if isinstance(call.get("function"), dict):
+            return {**call, "function": {**call["function"], "name": name, "arguments": args}}
+        return {**call, "name": name, "args": args}
+
+    if isinstance(message.get("tool_call"), dict):
+        return {**message, "tool_call": filled(message["tool_call"])}
+    if isinstance(message.get("tool_calls"), list) and message["tool_calls"] and isinstance(message["tool_calls"][0], dict):
+        return {**message, "tool_calls": [filled(message["tool_calls"][0]), *message["tool_calls"][1:]]}
+    return {**message, "tool_call": {"name": name, "args": args}}
+
+
+def restored(original, content: str, name: str | None, args: str | None):
+    """A compressed message in its original's shape, with everything else that the original has."""
+    import json
+
+    if not isinstance(original, dict):
+        return content
+    key = "content" if "content" in original or "text" not in original else "text"
+    out = {**original, key: reshaped(original.get(key), content or "")}
+    call = original.get("tool_call") or (original.get("tool_calls") or [None])[0] or {}
+    was = (call.get("function") or call).get("arguments", (call.get("function") or call).get("args")) if isinstance(call, dict) else None
+    try:
+        value = args if isinstance(was, str) or args is None else json.loads(args)
+    except ValueError:
+        value = args
+    return with_call(out, name, value)
+
+
+def denormalized(compressed: DataFrame, raw: DataFrame, trace_id: str = "trace_id", body: str = "body") -> DataFrame:
+    """(trace_id, body): compressed traces in the shape of the raw JSON they came from: envelope, keys, content blocks, further fields.
+
+    Messages are matched by msg_idx; one that the original doesn't have is added as it is, role and content.
+    """
+    import json
+
+    import pandas as pd
+
+    m = F.sort_array(F.collect_list(F.struct("msg_idx", "role", "content", "tool_name", "tool_args")))
+    rows = raw.select(F.col(trace_id).cast("string").alias("trace_id"), F.col(body).alias("raw")).join(compressed.groupBy("trace_id").agg(F.to_json(m).alias("ms")), "trace_id")
+
+    def one(text: str, ms: str) -> str:
+        doc = json.loads(text)
+        key = next((k for k in ENVELOPES if isinstance(doc, dict) and isinstance(doc.get(k), list)), None)
+        originals = doc[key] if key else doc
+        out = []
+        for r in json.loads(ms):
+            i = r["msg_idx"]
+            known = isinstance(originals, list) and 0 <= i < len(originals)
+            out.append(restored(originals[i], r.get("content") or "", r.get("tool_name"), r.get("tool_args")) if known else {"role": r.get("role"), "content": r.get("content") or ""})
+        return json.dumps({**doc, key: out} if key else out, ensure_ascii=False, separators=(",", ":"))
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"trace_id": b.trace_id, "body": [one(t, x) for t, x in zip(b.raw, b.ms)]})
+
+    return rows.mapInPandas(run, "trace_id string, body string")
+
+
+def further_fields(raw: DataFrame, trace_id: str = "trace_id", body: str = "body") -> DataFrame:
+    """(trace_id, msg_idx, extra): what messages have besides role, content and tool calls, as JSON; messages without any have no row."""
+    v = F.try_parse_json(F.col(body))
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in ENVELOPES))
+    rows = raw.select(F.col(trace_id).cast("string").alias("trace_id"), F.posexplode(items).alias("msg_idx", "m"))
+    known = ("role", "content", "text", "tool_call", "tool_calls", "sender", "speaker", "from")
+    extra = F.map_filter(F.try_variant_get("m", "$", "map<string,variant>"), lambda k, _: ~k.isin(*known))
+    return rows.select("trace_id", "msg_idx", extra.alias("e")).where("size(e) > 0").select("trace_id", "msg_idx", F.to_json("e").alias("extra"))
+
+
+_REPORT_ROWS = 10_000
+
+
+def write_report(rows: DataFrame, path: str, kind: str, most: int = _REPORT_ROWS) -> None:
+    """A report as json, csv or parquet (written by executors), or as md or html by the driver: ``most`` rows, and a line that says how many there are besides."""
     if kind in ("json", "csv", "parquet"):
         getattr(rows.write.mode("overwrite"), kind)(path, **({"header": True} if kind == "csv" else {}))
         return
     import html as h
 
-    got = [["" if v is None else str(v) for v in r] for r in rows.limit(most).collect()]
+    got = [["" if v is None else str(v) for v in r] for r in rows.limit(most + 1).collect()]
+    more = rows.count() - most if len(got) > most else 0
+    got = got[:most] + ([[f"{more} more rows", *[""] * (len(rows.columns) - 1)]] if more else [])
     if kind == "md":
         text = "\n".join("| " + " | ".join(x) + " |" for x in [rows.columns, ["---"] * len(rows.columns), *got])
     elif kind == "html":
@@ -113,6 +214,28 @@ def write_report(rows: DataFrame, path: str, kind: str, most: int = 10_000) -> N
         f.write(text + "\n")
 
 
+class DictStore:
+    """Originals held in a DataFrame of this session, for tests and notebooks; the interface of ``MessageStore``."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.rows, self.version = spark, None, 0
+
+    def save(self, messages: DataFrame) -> None:
+        new = messages.select(*COLUMNS).withColumn("version", F.lit(self.version))
+        self.rows, self.version = new if self.rows is None else self.rows.unionByName(new), self.version + 1
+
+    def load(self) -> DataFrame:
+        rows = self.rows if self.rows is not None else self.spark.createDataFrame([], "trace_id string, msg_idx int, role string, content string, tool_name string, tool_args string, version int")
+        return rows.groupBy("trace_id", "msg_idx").agg(F.max_by(F.struct(*COLUMNS[2:]), "version").alias("m")).select("trace_id", "msg_idx", "m.*")
+
+    def get(self, trace_id: str, msg_idx: int | None = None) -> DataFrame:
+        rows = self.load().where(F.col("trace_id") == trace_id)
+        return rows if msg_idx is None else rows.where(F.col("msg_idx") == msg_idx)
+
+    def resolve(self, compressed: DataFrame) -> DataFrame:
+        return resolve(compressed, self.load())
+
+
 class MessageStore:
     """Originals by (trace_id, msg_idx), as Parquet; the last write of a message counts."""
 
