@@ -27,15 +27,16 @@ from .common import fresh, written
 NAMES = frozenset("alice anna antonio bernd carlos carmen charles claire david elena emma francois george hans heinrich helen henri isabel jacques james jean jennifer johann john jose juan julia karl katrin laura linda louis lucia luis margaret maria marie mary michael miguel monika patricia paul pedro peter pierre robert sabine sarah sofia stefan susan thomas ursula william wolfgang".split())
 TLDS = frozenset("ai at au be br ca ch cn co com de edu es eu fr gov in info int io it jp me mil mx net nl org pl pt ru se uk us".split())
 _SPAN = re.compile(
-    r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)*)"
+    r"(?P<setting>(?<![A-Za-z])(?i:passwor[dt]|passwd|pwd|contraseña|mot_de_passe|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"',;<>]{6,})"
+    r"|(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)*)"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<secret>(?<![A-Za-z0-9_-])(?:AKIA|ghp_|sk-|xox[a-z]-)[A-Za-z0-9_-]{12,}|(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{0,200}\d)(?=[A-Za-z0-9_-]{0,200}[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-]))"
+    r"|(?P<secret>(?<![A-Za-z0-9_-])(?:AKIA|ghp_|sk-|xox[a-z]-)[A-Za-z0-9_-]{12,}|(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*\d)(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<number>(?<![\w.])(?:\d{13,19}|\+?\(?\d(?:[ ().\-/]{0,2}(?!\d{1,3}(?:\.\d{1,3}){3}(?!\w))\d){6,18})(?!\w))"
     r"|(?P<name>\b(?:" + "|".join(sorted(x.capitalize() for x in NAMES)) + r") [A-Z][a-z]{2,}\b)"
 )
 #: What every span has; texts without it are not looked at any further.
-_SOME = r"[0-9@]|AKIA|ghp_|sk-|xox|\b(?:" + "|".join(sorted(x.capitalize() for x in NAMES)) + r") [A-Z]"
+_SOME = r"[0-9@]|(?i:passwor[dt]|passwd|pwd|contraseña|mot_de_passe|secret|token|api[_-]?key)[ \t]*[=:]|AKIA|ghp_|sk-|xox|\b(?:" + "|".join(sorted(x.capitalize() for x in NAMES)) + r") [A-Z]"
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\+\d{9,14}")
 _DATE = re.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4}|(?:19|20)\d\d ?[-/] ?(?:19|20)\d\d")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
@@ -57,6 +58,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_KNOWN_KEY = re.compile(r"AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[a-z]-[A-Za-z0-9-]{10,}")
+_VALUE = re.compile(r"[=:][ \t]*[\"']?")
+
+
+def found(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, stop, kind) of the candidates of a text; of what is set to a secret only the secret."""
+    for m in _SPAN.finditer(text):
+        kind, s = m.lastgroup, m.start()
+        if kind == "setting":
+            kind, s = "secret", s + _VALUE.search(m.group()).end()
+        yield s, m.end(), kind
+
+
 def _letters(c: str) -> str:
     return "d" if c.isdigit() else "a" if c.isalpha() else "."
 
@@ -78,7 +92,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[str, str]:
         seen = len(set(span.lower())) / min(len(span), 24)
         pattern = "+" if re.fullmatch(r"[0-9a-fA-F]{24,}|(?:AKIA|ghp_|sk-|xox)[\w-]+", span) or seen > 0.55 else "-"
         mixed = sum(x != y for x, y in zip(map(_letters, span), map(_letters, span[1:]))) / len(span)
-        shape = "+" if mixed > 0.2 else "-"
+        shape = "+" if mixed > 0.2 or _KNOWN_KEY.fullmatch(span) else "-"
     elif kind == "iban":
         flat = span.replace(" ", "")
         pattern = "+" if 15 <= len(flat) <= 34 else "-"
@@ -95,7 +109,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[str, str]:
     else:
         gaz = "+"
         shape = "+" if re.fullmatch(r"[A-Z][a-z]+ [A-Z][a-z]+", span) else "0"
-    context = "+" if _NEAR[kind].search(before) else "0"
+    context = "+" if _NEAR[kind].search(before) or _NEAR[kind].search(after) else "0"
     against = "-" if _AGAINST.search(before) and kind in ("number", "ip", "iban") else "0"
     size = min(len(span) // 4, 9)
     form = "plain" if re.fullmatch(r"\d+|[0-9a-fA-F]+", span) else "led" if span[:1] in "+(" else "mixed"
@@ -113,9 +127,8 @@ def candidates(docs: DataFrame) -> DataFrame:
             b = b.filter(pc.match_substring_regex(b.column(1), _SOME))
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py()
-                for m in _SPAN.finditer(text):
-                    s, e = m.span()
-                    out.append((doc, s, e, m.lastgroup, *votes(m.lastgroup, m.group(), text[max(0, s - 40) : s], text[e : e + 20])))
+                for s, e, kind in found(text):
+                    out.append((doc, s, e, kind, *votes(kind, text[s:e], text[max(0, s - 40) : s], text[e : e + 20])))
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["doc_id", "start", "stop", "kind", "votes", "features"])
 
