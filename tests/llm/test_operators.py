@@ -241,6 +241,34 @@ def test_cotraining_on_held_out_documents(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.keep} | {None}
 
 
+def test_views_teach_each_other(spark):
+    """Of documents whose quality both views tell, most without a label: pseudo-labels are exchanged, they are right, and they help."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    y = (rng.random(n) < 0.5).astype(int)
+    views = [rng.normal(size=(n, 30)) + y[:, None] * np.array([1.2] * 6 + [0.0] * 24), rng.normal(size=(n, 20)) + y[:, None] * np.array([1.5] * 6 + [0.0] * 14)]
+    few = np.arange(n) < 60
+    held = np.arange(60) % 4 == 0
+    t = cotraining.CoTrainer([v[few] for v in views], y[few], held)
+
+    def right():
+        return [((cotraining.logit(t.scaled(k, views[k][~few]), t.ws[k]) > 0) == y[~few]).mean() for k in range(2)]
+
+    before = right()
+    for _ in range(4):
+        counts = t.step(t.sums([v[~few][:1500] for v in views]) + t.sums([v[~few][1500:] for v in views]))
+    assert min(min(c) for c in counts) > 100 and all(b > a + 0.02 for a, b in zip(before, right()))
+    p = 1 / (1 + np.exp(-cotraining.logit(t.scaled(1, views[1][~few]), t.ws[1])))
+    sure = p >= cotraining.SURE
+    total, size = t.sums([v[~few] for v in views]), 31
+    assert total[2 * (size * size + size + 1) - 1] == sure.sum()  # brute force: how many the text view is told are good
+    x1 = np.concatenate([t.scaled(0, views[0][~few])[sure], np.ones((sure.sum(), 1))], 1)
+    q = 1 / (1 + np.exp(-cotraining.logit(x1[:, :-1], t.ws[0])))
+    want = sum(np.outer(r, r) * v * (1 - v) for r, v in zip(x1, q))
+    at = size * size + size + 1
+    assert np.allclose(total[at : at + size * size].reshape(size, size), want)
+
+
 def test_cotraining_without_labels_keeps_all(spark):
     df = docs_df(spark, odd_rows())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -1,14 +1,15 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 The text view sees the frequencies of characters and the repetition of words; the metadata view sees
-the language, the source, and size and layout of the page. Both are logistic regressions. In every round each
-one labels the documents of an unlabelled pool that it is most sure of, and these join the training set of the other.
+the language, the source, and size and layout of the page. Both are logistic regressions, fitted on labelled documents first. In
+every round each one labels all documents without a label that it is sure of, and the other one learns from these, by a Newton
+step over labelled and pseudo-labelled documents; the pseudo-labels of a class weigh as much as its labels, however many they are.
 Both are then calibrated (Platt) on labelled documents held out of training, and a last logistic regression
 on those weighs the two calibrated views.
 
-Scale: features are made in a narrow scan and have a fixed width. Training takes place in one task on at most
-``sample`` labelled and as many unlabelled documents, those of least hashed doc_id. The model is some 250 numbers;
-scoring all documents is one more narrow scan without a shuffle.
+Scale: features are made in one narrow scan, have a fixed width (880 bytes a document) and are kept as a table for the rounds. Labels are
+a sample of at most ``sample`` documents, those of least hashed doc_id; the pool is everything else. What a round gathers is sums of
+a fixed size from each partition, added up on 32 executors' tasks before they go to the driver. The model is some 250 numbers.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import kept, written
 
-SAMPLE, ROUNDS, SURE, SHARE, THRESHOLD = 8192, 4, 0.95, 0.05, 0.3
+SAMPLE, ROUNDS, SURE, THRESHOLD, SLOTS = 8192, 4, 0.95, 0.3, 32
 LANGS, SOURCES = 16, 64
 N_TEXT, N_META = 128 + 8, LANGS + SOURCES + 4
 
@@ -91,45 +93,69 @@ def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """[text weights, metadata weights, combination]; y is 1, 0 or -1 for unlabelled, held marks the calibration rows."""
-    scaled, back = [], []
-    for x in views:
-        mean, sd = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
-        sd = np.where(sd > 1e-9, sd, np.inf)
-        scaled.append((x - mean) / sd)
-        back.append((mean, sd))
-    own = [np.where(held, -1, y).astype(int) for _ in views]
-    pool = (y < 0) & ~held
-    ws = [logistic(x[o >= 0], o[o >= 0]) for x, o in zip(scaled, own)]
-    for _ in range(rounds):
-        gains = 0
+class CoTrainer:
+    """The two views' weights while they are trained on labelled rows (y is 1 or 0) of which ``held`` are kept for calibration."""
+
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> None:
+        self.stats = []
+        for x in views:
+            mean, sd = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
+            self.stats.append((mean, np.where(sd > 1e-9, sd, np.inf)))
+        self.views, self.y, self.held = [self.scaled(k, x) for k, x in enumerate(views)], y.astype(float), held
+        self.ws = [logistic(x[~held], self.y[~held]) for x in self.views]
+
+    def scaled(self, k: int, x: np.ndarray) -> np.ndarray:
+        mean, sd = self.stats[k]
+        return (x - mean) / sd
+
+    def sums(self, views: list[np.ndarray]) -> np.ndarray:
+        """Of pool rows, for each view and class that the other view is sure of: Hessian, gradient and number, in one vector."""
+        xs = [self.scaled(k, x) for k, x in enumerate(views)]
+        ps = [1 / (1 + np.exp(-logit(x, w))) for x, w in zip(xs, self.ws)]
+        out = []
         for k in range(2):
-            p = 1 / (1 + np.exp(-logit(scaled[k], ws[k])))
-            free = np.flatnonzero(pool & (own[1 - k] < 0))
-            rate = (own[k][own[k] >= 0]).mean()
-            for label, sure, share in ((1, p[free], rate), (0, 1 - p[free], 1 - rate)):
-                best = free[np.argsort(-sure, kind="stable")[: int(SHARE * pool.sum() * share) + 1]]
-                best = best[(p[best] if label else 1 - p[best]) >= SURE]
-                own[1 - k][best] = label
-                gains += len(best)
-        if not gains:
-            break
-        ws = [logistic(x[o >= 0], o[o >= 0]) for x, o in zip(scaled, own)]
-    cal = np.flatnonzero(held & (y >= 0))
-    raw = [logit(x[cal], w)[:, None] for x, w in zip(scaled, ws)]
-    platt = [logistic(r, y[cal], 1e-3) for r in raw]
-    both = np.concatenate([logit(r, a)[:, None] for r, a in zip(raw, platt)], 1)
-    last = logistic(both, y[cal], 1e-2)
-    for k in np.flatnonzero(last[:-1] < 0):  # a view that says nothing mustn't count against itself
-        both[:, k] = 0
-        last = logistic(both, y[cal], 1e-2)
-    out = []
-    for w, a, (mean, sd) in zip(ws, platt, back):
-        plain = np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum()) * a[0]
-        plain[-1] += a[1]
-        out.append(plain)
-    return [*out, last]
+            for label in (0, 1):
+                sure = ps[1 - k] >= SURE if label else ps[1 - k] <= 1 - SURE
+                x1, p = np.concatenate([xs[k][sure], np.ones((int(sure.sum()), 1))], 1), ps[k][sure]
+                out += [((x1 * (p * (1 - p))[:, None]).T @ x1).ravel(), x1.T @ (p - label), np.array([float(sure.sum())])]
+        return np.concatenate(out)
+
+    def step(self, total: np.ndarray, l2: float = 1.0) -> list[list[float]]:
+        """A Newton step of each view over its labelled and pseudo-labelled rows; how many pseudo-labels each got, by class."""
+        at, counts, new = 0, [], []
+        for k in range(2):
+            x, y = self.views[k][~self.held], self.y[~self.held]
+            x1, n = np.concatenate([x, np.ones((len(x), 1))], 1), x.shape[1] + 1
+            p = 1 / (1 + np.exp(-logit(x, self.ws[k])))
+            ridge = np.append(np.full(n - 1, l2), 1e-6)
+            h, g, own = (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1 + np.diag(ridge), x1.T @ (p - y) + ridge * self.ws[k], []
+            for label in (0, 1):
+                hess, grad, many = total[at : at + n * n].reshape(n, n), total[at + n * n : at + n * n + n], total[at + n * n + n]
+                at += n * n + n + 1
+                weight = (y == label).sum() / many if many else 0.0
+                h, g = h + min(1.0, weight) * hess, g + min(1.0, weight) * grad
+                own.append(float(many))
+            new.append(self.ws[k] - np.linalg.solve(h, g))
+            counts.append(own)
+        self.ws = new
+        return counts
+
+    def model(self) -> list[np.ndarray]:
+        """[text weights, metadata weights, combination] for plain features."""
+        y = self.y[self.held]
+        raw = [logit(x[self.held], w)[:, None] for x, w in zip(self.views, self.ws)]
+        platt = [logistic(r, y, 1e-3) for r in raw]
+        both = np.concatenate([logit(r, a)[:, None] for r, a in zip(raw, platt)], 1)
+        last = logistic(both, y, 1e-2)
+        for k in np.flatnonzero(last[:-1] < 0):  # a view that says nothing mustn't count against itself
+            both[:, k] = 0
+            last = logistic(both, y, 1e-2)
+        out = []
+        for w, a, (mean, sd) in zip(self.ws, platt, self.stats):
+            plain = np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum()) * a[0]
+            plain[-1] += a[1]
+            out.append(plain)
+        return [*out, last]
 
 
 _COLS = ("text", "lang", "source", "n_chars")
@@ -139,52 +165,89 @@ def _typed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"), *more)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[np.ndarray] | None:
-    """The model, or None where labelled documents of both kinds are missing."""
-    y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("__y"))
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct().join(y, "__id", "left")
+def _rows(b: pa.RecordBatch, at: int = 0) -> np.ndarray:
+    """The features of a batch, a row a document; its column ``at`` has them as bytes."""
+    return np.frombuffer(b"".join(b.column(at).to_pylist()), np.float32).reshape(b.num_rows, N_TEXT + N_META)
 
-    def few(known: bool) -> DataFrame:
-        return ids.where("__y is not null" if known else "__y is null").orderBy(F.xxhash64("__id"), "__id").limit(sample)
 
-    chosen = written(few(True).unionByName(few(False)).withColumn("__y", F.coalesce("__y", F.lit(-1))), "chosen")[0]
+def feature_table(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, x, more...) of each row with a doc_id."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, x, m in features(*(b.column(i) for i in range(1, 5))):
                 both = np.concatenate([x, m], 1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(5).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1) * both.shape[1], pa.int32()), pa.array(both.ravel()))], ["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in both], pa.binary()), *(b.column(i).slice(lo, hi - lo) for i in range(5, b.num_columns))], ["doc_id", "x", *more])
+
+    return _typed(docs, *more).mapInArrow(make, "doc_id long, x binary" + "".join(f", {c} int" for c in more))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, features, labels) of the sample, in order of hashed doc_id; a document with labels that differ is of low quality."""
+    y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("__y"))
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct().join(y, "__id")
+    chosen = written(ids.orderBy(F.xxhash64("__id"), "__id").limit(sample), "chosen")[0]
+    keyed = docs.select("doc_id", *_COLS).join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__id"))  # at most ``sample`` ids
+    rows = feature_table(keyed, "__y").dropDuplicates(["doc_id", "x"]).collect()  # at most ``sample`` documents of 880 bytes
+    rows.sort(key=lambda r: (int(tv.mix(np.array([r.doc_id]).view(np.uint64))[0]), r.doc_id, bytes(r.x)))
+    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), N_TEXT + N_META)
+    return np.array([r.doc_id for r in rows], np.int64), x, np.array([r[2] for r in rows], np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, table: DataFrame | None = None) -> tuple[list[np.ndarray], list] | None:
+    """(model, numbers of pseudo-labels by round, view and class), or None where labelled documents of both kinds are missing.
+
+    ``table`` is ``feature_table(docs)``, written already, if there is one.
+    """
+    ids, x, y = labelled(docs, labels, sample)
+    held = tv.mix(tv.mix(ids.view(np.uint64))) % np.uint64(4) == 0
+    if any(len(set(y[k])) < 2 for k in (held, ~held)):
+        return None
+    trainer, told, known = CoTrainer([x[:, :N_TEXT], x[:, N_TEXT:]], y, held), [], np.sort(ids)
+    if table is None:
+        table = written(feature_table(docs), "features")[0]
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = tv.mix(pdf.doc_id.to_numpy().astype(np.uint64))
-        pdf = pdf.assign(order=order).sort_values(["order", "doc_id", "y"])
-        y, x = pdf.y.to_numpy(), np.stack(pdf.x.to_numpy())
-        held = (y >= 0) & (tv.mix(pdf.order.to_numpy().astype(np.uint64)) % np.uint64(4) == 0)
-        if any(len(set(y[k & (y >= 0)])) < 2 for k in (held, ~held)):
-            return pd.DataFrame({"part": [], "at": [], "weight": []})
-        model = co_train([x[:, :N_TEXT], x[:, N_TEXT:]], y, held)
-        return pd.DataFrame([(p, i, float(v)) for p, w in enumerate(model) for i, v in enumerate(w)], columns=["part", "at", "weight"])
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], trainer=trainer) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                own = b.column(0).to_numpy()
+                free = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] != own
+                z = _rows(b, 1)[free]
+                now = trainer.sums([z[:, :N_TEXT], z[:, N_TEXT:]])
+                total = now if total is None else total + now
+            if total is not None:
+                slot = TaskContext.get().partitionId() % SLOTS
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "sums"])
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"sums": [np.sum([np.frombuffer(v) for v in pdf.sums], axis=0).tobytes()]})
+
+        parts = table.select("doc_id", "x").mapInArrow(run, "slot int, sums binary").groupBy("slot").applyInPandas(add, "sums binary").collect()  # at most SLOTS rows
+        if not parts:
+            break
+        told.append(trainer.step(np.sum([np.frombuffer(bytes(r.sums)) for r in parts], axis=0)))
+    return trainer.model(), told
 
-    few_docs = _typed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most 2 * sample ids
-    rows = few_docs.select("doc_id", *_COLS, "__y").mapInArrow(make, "doc_id long, y int, x array<float>")
-    model = written(rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "part int, at int, weight double"), "cotraining")[0].orderBy("part", "at").collect()
-    return [np.array([r.weight for r in model if r.part == p]) for p in range(3)] if model else None
 
+def _scores(x: np.ndarray, model: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Of the text view, of the metadata view, of both."""
+    if model is None:
+        return [np.ones(len(x))] * 3
+    ls = [logit(x[:, :N_TEXT], model[0]), logit(x[:, N_TEXT:], model[1])]
+    return [np.round(1 / (1 + np.exp(-v)), 9) for v in (*ls, logit(np.stack(ls, 1), model[2]))]
 
-def score(docs: DataFrame, model: list[np.ndarray] | None) -> DataFrame:
-    """(doc_id, text_score, meta_score, score) of every row with a doc_id; all 1 without a model."""
+
+def score(table: DataFrame, model: list[np.ndarray] | None) -> DataFrame:
+    """(doc_id, text_score, meta_score, score) of every row of a feature table; all 1 without a model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, x, m in features(*(b.column(i) for i in range(1, 5))):
-                if model is None:
-                    ps = [np.ones(hi - lo)] * 3
-                else:
-                    ls = [logit(x, model[0]), logit(m, model[1])]
-                    ps = [1 / (1 + np.exp(-v)) for v in (*ls, logit(np.stack(ls, 1), model[2]))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(np.round(p, 9)) for p in ps)], ["doc_id", "text_score", "meta_score", "score"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, _scores(_rows(b, 1), model))], ["doc_id", "text_score", "meta_score", "score"])
 
-    return _typed(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
+    return table.select("doc_id", "x").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -195,21 +258,24 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     Where rows share a doc_id the one with the greatest score counts. A document with labels that differ is of low
     quality. Without labelled documents of both kinds every score is 1. Null doc_ids are left out.
     """
-    s = score(docs, train(docs, labels, sample))
+    table = written(feature_table(docs), "features")[0]
+    trained = train(docs, labels, sample, table=table)
+    s = score(table, trained and trained[0])
     best = s.groupBy("doc_id").agg(F.max(F.struct("score", "text_score", "meta_score")).alias("b"))
     return best.select("doc_id", "b.text_score", "b.meta_score", "b.score", (F.col("b.score") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, each judged by itself; rows without a doc_id stay."""
-    model = train(docs, labels, sample)
+    trained = train(docs, labels, sample)
+    model = trained and trained[0]
 
     def judge(b: pa.RecordBatch) -> np.ndarray:
         cols = [b.column(b.schema.get_field_index(c)) for c in _COLS]
         out = np.ones(b.num_rows, bool)
         if model is not None:
             for lo, hi, x, m in features(*cols):
-                out[lo:hi] = np.round(1 / (1 + np.exp(-logit(np.stack([logit(x, model[0]), logit(m, model[1])], 1), model[2]))), 9) >= threshold
+                out[lo:hi] = _scores(np.concatenate([x, m], 1), model)[2] >= threshold
         return out | b.column(b.schema.get_field_index("doc_id")).is_null().to_numpy(zero_copy_only=False)
 
     return kept(docs, judge)
