@@ -201,6 +201,43 @@ def test_fuzzy_lines_recall_by_length(spark):
     assert {x: 1 for x, own in planted.items() if len(gone & set(own)) < 0.9 * len(own)} == {}
 
 
+def test_a_shared_passage_does_not_hide_copies(spark):
+    """Blocks crowded by a passage that many lines share, with true copies among them, and one crowded by like lines."""
+    rng = random.Random(23)
+    shared, rows, copies = prose(rng, 60), [], {}
+    for k in range(400):
+        own = prose(rng, 9)
+        rows.append((k, f"{own} {shared} {prose(rng, 9)}"))
+        if k % 10 == 0:
+            other = list(rows[-1][1])
+            other[rng.randrange(len(other))] = "q"
+            copies[1000 + k] = k
+            rows.append((1000 + k, "".join(other)))
+    same = prose(rng, 50)
+    rows += [(5000 + k, same[: 7 * k % 250] + "q" + same[7 * k % 250 :]) for k in range(150)]
+    gone = {r.doc_id for r in fuzzy_lines.removals(docs_df(spark, rows)).collect()}
+    assert len(gone & set(copies)) >= 0.95 * len(copies) and len(gone & {i for i, _ in rows if i >= 5000}) >= 147
+    assert not gone & {k for k in range(400)} and 5000 not in gone
+
+
+def test_character_counts_rule_out_no_pair():
+    rng = random.Random(2)
+    texts = [prose(rng, rng.randint(5, 60)) for _ in range(300)]
+    import pyarrow as pa
+
+    for t in texts:
+        k = rng.randrange(1, max(2, len(t) // 20 + 1))
+        other = list(t)
+        for _ in range(k):
+            p = rng.randrange(len(other))
+            rng.choice([lambda: other.insert(p, rng.choice("aé漢q")), lambda: other.pop(p), lambda: other.__setitem__(p, "z")])()
+        size, _, _, counts = fuzzy_lines.sketches(next(textvec.tokens(pa.array([t, "".join(other)]))), 0.95)
+        d = distance(" ".join(norm(t)), " ".join(norm("".join(other))))
+        if d <= int(0.05 * size.max() + 1e-9):
+            rank = np.array(sorted(size)).astype(np.uint64)
+            assert fuzzy_lines.like(np.array([0]), np.array([1]), rank, counts, 0.95)[0]
+
+
 def test_fuzzy_lines_edges(spark):
     rows = odd_rows() + [(30, "Keep this line, please!\n\nAnd that\nkeep THIS line please"), (31, "and that\nnew")]
     df = docs_df(spark, rows)
@@ -455,6 +492,47 @@ def test_flat_graph_against_brute_force(spark):
     assert flat_graph.near_duplicates(df.limit(0)).count() == 0
 
 
+def groups_of(u, threshold):
+    root = list(range(len(u)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(*np.nonzero(np.triu(u @ u.T >= threshold, 1))):
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    return {i: find(i) for i in range(len(u)) if find(i) != i}
+
+
+@pytest.mark.parametrize("params", [{"shard": 150}, {"shard": 60, "pivot_bytes": 256}])
+def test_dense_groups_are_found_whole(spark, params):
+    """Groups of far more near copies than a node has edges, with few other vectors; by one level of pivots and by two."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(1, 32)) + rng.normal(size=(200, 32)) * 0.12 for _ in range(3)] + [rng.normal(size=(60, 32))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    true = groups_of(x / np.linalg.norm(x, axis=1, keepdims=True), 0.95)
+    got = {r.vec_id: r.dup_of for r in flat_graph.near_duplicates(df, **params).collect()}
+    assert len(true) > 500 and sum(got.get(i) == g for i, g in true.items()) >= 0.98 * len(true) and set(got) <= set(true)
+
+
+def test_forest_spans_what_the_pairs_do():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 60, 300), rng.integers(0, 60, 300)
+    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    both = np.unique(a * 60 + b)
+    a, b = both // 60, both % 60
+    keep = flat_graph.forest(a, b, rng.random(len(a)))
+    assert (flat_graph.parts_of(60, a, b) == flat_graph.parts_of(60, a[keep], b[keep])).all() and keep.sum() < len(a)
+
+
+def test_vectors_that_pivots_cannot_cut():
+    x = flat_graph.unit(np.ones((900, 8)) + np.arange(900)[:, None] * 1e-7)
+    parts = flat_graph.shards_of(x, 100, 2)
+    assert len(set(np.concatenate(parts))) == 900 and max(map(len, parts)) <= 100
+
+
 def test_dense_shards_are_cut():
     rng = np.random.default_rng(1)
     parts = flat_graph.shards_of(flat_graph.unit(rng.normal(size=(3000, 8))), 400, 2)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import kept
 
-MAX_EDIT, REPEATS, SAMPLED, LEAST_TOKENS, TABLE, CLASSES, MOST_ITEMS = 0.2, 24, 3, 4, 1 << 20, 62, 20_000
+MAX_EDIT, REPEATS, SAMPLED, LEAST_TOKENS, TABLE, CLASSES, MOST_ITEMS = 0.2, 40, 3, 4, 1 << 20, 62, 20_000
 GRAMS = (2, 3)
 PIECE = 32
 _U = np.uint64
