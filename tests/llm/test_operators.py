@@ -220,6 +220,24 @@ def test_a_shared_passage_does_not_hide_copies(spark):
     assert not gone & {k for k in range(400)} and 5000 not in gone
 
 
+@pytest.mark.parametrize("size", [100, 1000, 3000])
+def test_a_hot_block_over_many_batches(size):
+    """Every row is put aside once and no pair made; with leaders, all but one follow another."""
+    import pyarrow as pa
+
+    n = 3000
+    rank = np.sort((np.uint64(5) << np.uint64(58)) | (np.uint64(77) << np.uint64(24)) | np.random.default_rng(1).integers(100, 104, n).astype(np.uint64)).view(np.int64)
+
+    def batches():
+        for s in range(0, n, size):
+            yield pa.RecordBatch.from_arrays([pa.array(rank[s : s + size]), pa.array(np.arange(s, s + size)), pa.array(np.zeros(size, np.int64))], ["rank", "hash", "counts"])
+
+    aside = [x for b in fuzzy_lines._pairs(0.95, False)(batches()) for x, r in zip(b.column(2).to_pylist(), b.column(1).to_pylist()) if r is not None]
+    assert sorted(aside) == list(range(n))
+    pairs = [(a, b) for x in fuzzy_lines._pairs(0.95, True)(batches()) for a, b, r in zip(*(x.column(k).to_pylist() for k in (2, 3, 1))) if r is None]
+    assert len(pairs) == n - 1
+
+
 def test_character_counts_rule_out_no_pair():
     rng = random.Random(2)
     texts = [prose(rng, rng.randint(5, 60)) for _ in range(300)]
