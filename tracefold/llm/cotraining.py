@@ -2,8 +2,9 @@
 
 The text view sees the frequencies of characters and the repetition of words; the metadata view sees
 the language, the source, and size and layout of the page. Both are logistic regressions, fitted on labelled documents first. In
-every round each one labels all documents without a label that it is sure of, and the other one learns from these, by a Newton
-step over labelled and pseudo-labelled documents; the pseudo-labels of a class weigh as much as its labels, however many they are.
+every round each one labels all documents without a label that it is sure of, if what it is sure of among the documents held out is right,
+and the other one learns from these, by a step over labelled and pseudo-labelled documents that never makes their loss greater (the
+Hessian's upper bound stands for it); the pseudo-labels of a class weigh no more than its labels, however many they are.
 Both are then calibrated (Platt) on labelled documents held out of training, and a last logistic regression
 on those weighs the two calibrated views.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import kept, written
 
-SAMPLE, ROUNDS, SURE, THRESHOLD, SLOTS = 8192, 4, 0.95, 0.3, 32
+SAMPLE, ROUNDS, SURE, THRESHOLD, SLOTS, LEAST_HELD = 8192, 4, 0.95, 0.3, 32, 5
 LANGS, SOURCES = 16, 64
 N_TEXT, N_META = 128 + 8, LANGS + SOURCES + 4
 
@@ -108,27 +109,35 @@ class CoTrainer:
         mean, sd = self.stats[k]
         return (x - mean) / sd
 
+    def sure(self, k: int, p: np.ndarray, label: int) -> np.ndarray:
+        """Where a view is sure of a class; nowhere, if that isn't borne out by the labels held out."""
+        own = 1 / (1 + np.exp(-logit(self.views[k][self.held], self.ws[k])))
+        said = own >= SURE if label else own <= 1 - SURE
+        if said.sum() < LEAST_HELD or (self.y[self.held][said] == label).mean() < SURE:
+            return np.zeros(len(p), bool)
+        return p >= SURE if label else p <= 1 - SURE
+
     def sums(self, views: list[np.ndarray]) -> np.ndarray:
-        """Of pool rows, for each view and class that the other view is sure of: Hessian, gradient and number, in one vector."""
+        """Of pool rows, for each view and class that the other view is sure of: bound of the Hessian, gradient and number, in one vector."""
         xs = [self.scaled(k, x) for k, x in enumerate(views)]
         ps = [1 / (1 + np.exp(-logit(x, w))) for x, w in zip(xs, self.ws)]
         out = []
         for k in range(2):
             for label in (0, 1):
-                sure = ps[1 - k] >= SURE if label else ps[1 - k] <= 1 - SURE
+                sure = self.sure(1 - k, ps[1 - k], label)
                 x1, p = np.concatenate([xs[k][sure], np.ones((int(sure.sum()), 1))], 1), ps[k][sure]
-                out += [((x1 * (p * (1 - p))[:, None]).T @ x1).ravel(), x1.T @ (p - label), np.array([float(sure.sum())])]
+                out += [(0.25 * x1.T @ x1).ravel(), x1.T @ (p - label), np.array([float(sure.sum())])]
         return np.concatenate(out)
 
     def step(self, total: np.ndarray, l2: float = 1.0) -> list[list[float]]:
-        """A Newton step of each view over its labelled and pseudo-labelled rows; how many pseudo-labels each got, by class."""
+        """A step of each view over its labelled and pseudo-labelled rows; how many pseudo-labels each got, by class."""
         at, counts, new = 0, [], []
         for k in range(2):
             x, y = self.views[k][~self.held], self.y[~self.held]
             x1, n = np.concatenate([x, np.ones((len(x), 1))], 1), x.shape[1] + 1
             p = 1 / (1 + np.exp(-logit(x, self.ws[k])))
             ridge = np.append(np.full(n - 1, l2), 1e-6)
-            h, g, own = (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1 + np.diag(ridge), x1.T @ (p - y) + ridge * self.ws[k], []
+            h, g, own = 0.25 * x1.T @ x1 + np.diag(ridge), x1.T @ (p - y) + ridge * self.ws[k], []
             for label in (0, 1):
                 hess, grad, many = total[at : at + n * n].reshape(n, n), total[at + n * n : at + n * n + n], total[at + n * n + n]
                 at += n * n + n + 1
