@@ -98,7 +98,7 @@ class CoTrainer:
     """The two views' weights while they are trained on labelled rows (y is 1 or 0) of which ``held`` are kept for calibration."""
 
     def __init__(self, views: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> None:
-        self.stats = []
+        self.stats, self.bounds = [], [(x.min(0), x.max(0)) for x in views]
         for x in views:
             mean, sd = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
             self.stats.append((mean, np.where(sd > 1e-9, sd, np.inf)))
@@ -107,7 +107,7 @@ class CoTrainer:
 
     def scaled(self, k: int, x: np.ndarray) -> np.ndarray:
         mean, sd = self.stats[k]
-        return (x - mean) / sd
+        return (np.clip(x, *self.bounds[k]) - mean) / sd
 
     def sure(self, k: int, p: np.ndarray, label: int) -> np.ndarray:
         """Where a view is sure of a class; nowhere, if that isn't borne out by the labels held out."""
@@ -150,7 +150,7 @@ class CoTrainer:
         return counts
 
     def model(self) -> list[np.ndarray]:
-        """[text weights, metadata weights, combination] for plain features."""
+        """[text weights, metadata weights, combination] for plain features, and the least and greatest values that labels cover."""
         y = self.y[self.held]
         raw = [logit(x[self.held], w)[:, None] for x, w in zip(self.views, self.ws)]
         platt = [logistic(r, y, 1e-3) for r in raw]
@@ -164,7 +164,7 @@ class CoTrainer:
             plain = np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum()) * a[0]
             plain[-1] += a[1]
             out.append(plain)
-        return [*out, last]
+        return [*out, last, *(np.concatenate(b) for b in zip(*self.bounds))]
 
 
 _COLS = ("text", "lang", "source", "n_chars")
@@ -244,6 +244,7 @@ def _scores(x: np.ndarray, model: list[np.ndarray] | None) -> list[np.ndarray]:
     """Of the text view, of the metadata view, of both."""
     if model is None:
         return [np.ones(len(x))] * 3
+    x = np.clip(x, model[3], model[4])  # a linear view isn't carried on beyond what labels cover
     ls = [logit(x[:, :N_TEXT], model[0]), logit(x[:, N_TEXT:], model[1])]
     return [np.round(1 / (1 + np.exp(-v)), 9) for v in (*ls, logit(np.stack(ls, 1), model[2]))]
 
