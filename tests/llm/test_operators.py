@@ -220,6 +220,26 @@ def test_a_shared_passage_does_not_hide_copies(spark):
     assert not gone & {k for k in range(400)} and 5000 not in gone
 
 
+def test_a_crowded_block_against_brute_force(spark):
+    """Of lines that share a passage exactly those go that have a true partner before them; what they share doesn't count less for being usual."""
+    rng = random.Random(29)
+    shared, texts = prose(rng, 60), []
+    for _ in range(250):
+        own = prose(rng, 6)
+        texts.append(f"{own} {shared}")
+        if rng.random() < 0.4:  # hardly a run of the own part stays
+            texts.append("".join("q" if k % 6 == 3 else c for k, c in enumerate(own)) + f" {shared}")
+    rng.shuffle(texts)
+    a, b = np.triu_indices(len(texts), 1)
+    size = np.array([len(x) for x in texts])
+    near = fuzzy_lines.within([texts[i] for i in a], [texts[j] for j in b], (np.maximum(size[a], size[b]) * 0.05 + 1e-9).astype(np.int64))
+    root = np.arange(len(texts))
+    for i, j in zip(a[near], b[near]):
+        root[root == max(root[i], root[j])] = min(root[i], root[j])
+    gone = {r.doc_id for r in fuzzy_lines.removals(docs_df(spark, list(enumerate(texts)))).collect()}
+    assert near.sum() > 80 and gone == set(np.flatnonzero(root != np.arange(len(texts))).tolist())
+
+
 @pytest.mark.parametrize("size", [100, 1000, 3000])
 def test_a_hot_block_over_many_batches(size):
     """Every row is put aside once and no pair made; with leaders, all but one follow another."""
