@@ -240,6 +240,18 @@ def test_a_crowded_block_against_brute_force(spark):
     assert near.sum() > 80 and gone == set(np.flatnonzero(root != np.arange(len(texts))).tolist())
 
 
+def test_links_do_not_depend_on_the_number_of_other_lines(spark):
+    """Pairs with only their passage in common, alone and with so many others of the passage that its blocks are crowded."""
+    rng = random.Random(37)
+    shared, rows = prose(rng, 60), []
+    for k in range(30):
+        own = prose(rng, 12)
+        rows += [(2 * k, f"{own} {shared}"), (2 * k + 1, "".join("q" if i % 6 == 3 else c for i, c in enumerate(own)) + f" {shared}")]
+    others = [(1000 + k, f"{prose(rng, 14)} {shared}") for k in range(300)]
+    alone, crowded = ({r.doc_id for r in fuzzy_lines.removals(docs_df(spark, x)).collect()} for x in (rows, rows + others))
+    assert alone == {2 * k + 1 for k in range(30)} and {i for i in crowded if i < 1000} == alone
+
+
 @pytest.mark.parametrize("size", [100, 1000, 3000])
 def test_a_hot_block_over_many_batches(size):
     """Every row is put aside once and no pair made; with leaders, all but one follow another."""
