@@ -288,6 +288,23 @@ def test_character_counts_rule_out_no_pair():
             assert fuzzy_lines.like(np.array([0]), np.array([1]), rank, counts, 0.95)[0]
 
 
+def test_lines_that_cannot_be_aligned_by_their_run_are_no_candidates():
+    """A run at the one's begin and the other's end; with the place unknown, as of a run that occurs twice, they are."""
+    size, edge = 300, fuzzy_lines.BITS * fuzzy_lines.CLASSES
+    rank = np.full(2, np.uint64(77) << np.uint64(24) | np.uint64(size))
+    stop = fuzzy_lines._stops(rank, 0.95)
+
+    def pairs(*places):
+        counts = np.array([np.uint64(p) << np.uint64(edge) for p in places])
+        return sum(len(i) for i, _ in fuzzy_lines.near(rank, counts, stop, np.arange(2) + 1, 0.95))
+
+    assert (pairs(10, 250), pairs(10, 18), pairs(10, 17), pairs(10, fuzzy_lines.ANYWHERE)) == (0, 0, 1, 1)
+    import pyarrow as pa
+
+    _, _, row, _, places = fuzzy_lines.placed_sketches(next(textvec.tokens(pa.array(["ha " * 30, "\u00e9" * 20 + " some line of words"]))), 0.95)
+    assert set(places[row == 0]) == {fuzzy_lines.ANYWHERE} and all(p == fuzzy_lines.ANYWHERE or p <= 27 for p in places[row == 1])
+
+
 def test_fuzzy_lines_edges(spark):
     rows = odd_rows() + [(30, "Keep this line, please!\n\nAnd that\nkeep THIS line please"), (31, "and that\nnew")]
     df = docs_df(spark, rows)
