@@ -252,6 +252,70 @@ def test_links_do_not_depend_on_the_number_of_other_lines(spark):
     assert alone == {2 * k + 1 for k in range(30)} and {i for i in crowded if i < 1000} == alone
 
 
+def test_a_crowded_block_writes_links_not_pairs(spark, monkeypatch):
+    """Lines of one passage, all of the same characters and none near another: what is written doesn't grow with their pairs."""
+    rng = random.Random(41)
+    shared, own, texts = prose(rng, 16), prose(rng, 16).split(), []
+    for _ in range(300):
+        rng.shuffle(own)
+        texts.append(f"{shared} {' '.join(own)}")
+    texts.append("q".join([texts[7][:-1], ""]))
+    rows, old = [], fuzzy_lines.written
+
+    def counted(df, *what):
+        out, path = old(df, *what)
+        rows.append(out.count())
+        return out, path
+
+    monkeypatch.setattr(fuzzy_lines, "written", counted)
+    gone = {r.doc_id for r in fuzzy_lines.removals(docs_df(spark, list(enumerate(texts)))).collect()}
+    assert gone == {300} and max(rows) <= 2 * fuzzy_lines.BANDS * len(texts)
+
+
+def test_short_runs_rule_out_no_pair():
+    rng = random.Random(43)
+    for _ in range(300):
+        text = prose(rng, rng.randint(3, 40)) + rng.choice(["", "\u00e9\u4e2d" * 3])
+        e = rng.randint(0, len(text) // 10)
+        other = edited(rng, text, 1)[: len(text) // 2] if e == 0 else text
+        for _ in range(e):
+            k = rng.randrange(len(other))
+            other = other[:k] + rng.choice(["", "x", "y" + other[k]]) + other[k + 1 :]
+        most = np.array([distance(text, other)])
+        assert fuzzy_lines.alike(fuzzy_lines.grams([text, other]), np.array([0]), np.array([1]), most)[0]
+    bits = fuzzy_lines.grams([prose(rng, 40), prose(rng, 40), "", "abc"])
+    assert not fuzzy_lines.alike(bits, np.array([0]), np.array([1]), np.array([10]))[0] and not bits[2:].any()
+
+
+@pytest.mark.parametrize("size", [7, 60, 1000])
+def test_links_of_a_crowded_block_over_many_batches(size):
+    """The links span what brute force finds, however the block falls in batches, and are fewer than its rows."""
+    import pyarrow as pa
+
+    rng = random.Random(47)
+    texts = [prose(rng, 40)]
+    while len(texts) < 200:
+        base = rng.choice(texts)
+        k = rng.randrange(len(base) - 12)
+        texts.append(base[:k] + "qxzqxzqxzq"[: rng.randint(1, 10)] + base[k + 10 :])
+    texts.sort(key=len)
+    rank = np.array([(5 << 58) | (77 << 24) | len(x) for x in texts])
+    counts = [fuzzy_lines.ANYWHERE << fuzzy_lines.BITS * fuzzy_lines.CLASSES | int(fuzzy_lines.sketches(next(textvec.tokens(pa.array([x]))), 0.95)[3][0]) for x in texts]
+    rows = pa.table({"rank": rank, "hash": np.arange(200), "counts": np.array(counts, np.uint64).view(np.int64), "text": texts})
+    links = [x for b in fuzzy_lines._crowd(0.95)(iter(rows.to_batches(size))) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    a, b = np.triu_indices(200, 1)
+    n = np.array([len(x) for x in texts])
+    near = fuzzy_lines.within([texts[i] for i in a], [texts[j] for j in b], (np.maximum(n[a], n[b]) * 0.05 + 1e-9).astype(np.int64))
+
+    def roots(pairs):
+        root = np.arange(200)
+        for i, j in pairs:
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+        return root.tolist()
+
+    assert len(links) < 200 and 1 < len(set(roots(links))) < 190 and roots(links) == roots(zip(a[near], b[near]))
+
+
 @pytest.mark.parametrize("size", [100, 1000, 3000])
 def test_a_hot_block_over_many_batches(size):
     """Every row is put aside once and no pair made; with leaders, all but one follow another."""
