@@ -302,6 +302,7 @@ def test_links_of_a_crowded_block_over_many_batches(size):
     rank = np.array([(5 << 58) | (77 << 24) | len(x) for x in texts])
     counts = [fuzzy_lines.ANYWHERE << fuzzy_lines.BITS * fuzzy_lines.CLASSES | int(fuzzy_lines.sketches(next(textvec.tokens(pa.array([x]))), 0.95)[3][0]) for x in texts]
     rows = pa.table({"rank": rank, "hash": np.arange(200), "counts": np.array(counts, np.uint64).view(np.int64), "text": texts})
+    rows = rows.append_column("own", pa.array([[{"rank": r, "counts": c}] for r, c in zip(rank.tolist(), rows["counts"].to_pylist())]))
     links = [x for b in fuzzy_lines._crowd(0.95)(iter(rows.to_batches(size))) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     a, b = np.triu_indices(200, 1)
     n = np.array([len(x) for x in texts])
@@ -313,6 +314,8 @@ def test_links_of_a_crowded_block_over_many_batches(size):
             root[root == max(root[i], root[j])] = min(root[i], root[j])
         return root.tolist()
 
+    first = rows.set_column(4, "own", pa.array([x + [{"rank": (4 << 58) | 7 << 24 | len(t), "counts": x[0]["counts"]}] for t, x in zip(texts, rows["own"].to_pylist())]))
+    assert not list(fuzzy_lines._crowd(0.95)(iter(first.to_batches(size))))  # all are compared in the block of the kind before
     assert len(links) < 200 and 1 < len(set(roots(links))) < 190 and roots(links) == roots(zip(a[near], b[near]))
 
 
