@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -115,6 +117,7 @@ def observed(messages: DataFrame, least: int = 3) -> DataFrame:
     return anomalies(messages, least).withColumn("target", first).where("target is not null").join(tools, ["trace_id", "msg_idx"]).select("trace_id", "msg_idx", F.lit("observation").alias("kind"), F.coalesce("action", F.lit("tool_observation")).alias("action"), "target", F.substring("content", 1, 200).alias("reason"))
 
 
+_DIGITS = re.compile("[0-9]+")
 OMITTED = r"\s*\[\+[0-9]+ similar items omitted\]$"
 
 
@@ -131,7 +134,8 @@ def trimmed_array(content: str | None, least: int = 5, top: int = 3) -> str | No
         return content
 
     def form(v) -> str:
-        return "n" if isinstance(v, (int, float)) else f"s{len(v) // 10}" if isinstance(v, str) else type(v).__name__
+        # digits don't make a text unusual, however many they are
+        return "n" if isinstance(v, (int, float)) else f"s{len(_DIGITS.sub('#', v)) // 10}" if isinstance(v, str) else type(v).__name__
 
     forms = [tuple((k, form(r[k])) for k in sorted(r)) for r in rows]
     usual = Counter(forms).most_common(1)[0][0]
