@@ -49,11 +49,24 @@ def filler_probability(clauses_: DataFrame, weights: DataFrame, prior: float = 0
 
 def surprisal(messages: DataFrame) -> DataFrame:
     """(trace_id, msg_idx, bits): the greatest surprisal of a message's words in its trace."""
-    w = messages.select("trace_id", "msg_idx", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9-]+"), F.lit(0))).alias("w"))
-    n = w.groupBy("trace_id", "w").agg(F.count("*").alias("n"))
-    t = n.groupBy("trace_id").agg(F.sum("n").alias("total"))
-    j = w.distinct().join(n, ["trace_id", "w"]).join(t, "trace_id")
-    return j.groupBy("trace_id", "msg_idx").agg(F.round(F.max(-F.log2(F.col("n") / F.col("total"))), 6).alias("bits"))
+    import re
+    from collections import Counter
+
+    from tracefold.operators.compress import _grouped
+
+    def kernel(rows):
+        words = [(r["msg_idx"], re.findall("[a-z0-9-]+", r["content"] or "")) for r in rows]
+        count = Counter(w for _, ws in words for w in ws)
+        total, rarest = count.total(), {}
+        for i, ws in words:
+            if ws:
+                rarest[i] = min(rarest.get(i, total), min(count[w] for w in ws))
+        for i, n in rarest.items():
+            yield {"trace_id": rows[0]["trace_id"], "msg_idx": i, "n": n, "total": total}
+
+    # only messages are brought together by trace, so that words are on no disk
+    found = _grouped(messages.withColumn("content", F.lower("content")), kernel, "trace_id string, msg_idx int, n long, total long")
+    return found.select("trace_id", "msg_idx", F.round(-F.log2(F.col("n") / F.col("total")), 6).alias("bits"))
 
 
 def prune(messages: DataFrame, weights: DataFrame, threshold: float = 0.75) -> DataFrame:
